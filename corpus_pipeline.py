@@ -1,2 +1,70 @@
-STAGES = []
-def run(spark, sf_dir): ...
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
+returns a DataFrame; ``run`` writes each one's rows as Parquet and reads them again
+as the next one's docs. All stages but the last return the columns of documents.
+
+By the time a stage runs, its predecessors' results are written, so their scratch
+folders are removed then.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from textloom.llm import decontaminate, near_duplicates, packing, resample, surrogates
+from textloom.llm.shared import Scratch
+
+_open: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    while _open:
+        old = _open.pop()
+        if old.spark is spark:
+            old.drop()
+    _open.append(Scratch(spark, name))
+    return _open[-1]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents in the importance resample."""
+    return resample.select(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _scratch(spark, "stage1"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return near_duplicates.deduplicate(spark, docs, scratch=_scratch(spark, "stage2"))
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut benchmark passages out."""
+    _scratch(spark, "stage3")
+    return decontaminate.remove(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by surrogates."""
+    return surrogates.pseudonymise(spark, docs, scratch=_scratch(spark, "stage4"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into training sequences."""
+    return packing.pack(spark, docs, scratch=_scratch(spark, "stage5"))
+
+
+STAGES = [("quality classifier", quality), ("near-duplicates", near_copies), ("benchmark decontamination", benchmarks), ("personal data", personal_data), ("best-fit packing", sequences)]
+
+#: A n-gram ratio, signatures, an FM-index and a greedy packing: no stage is one SQL can express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the rows of the last."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = Scratch(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = out.table(stage(spark, docs, sf_dir), f"stage{i + 1}")
+        if i > 1:
+            out.drop(f"{i - 1:02d}-stage{i - 1}")
+    return docs

@@ -4,28 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, language_model, licences, near_duplicates, packing, passages, resample, sharding, surrogates, topk
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import contamination
 
-    return contamination(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.perplexity(spark, _table(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(spark, _table(spark, sf_dir, "documents"), sharding.copies())
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.counted(licences.scan(spark, _table(spark, sf_dir, "documents")))
+
+
+def op6_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.sample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .passages import repeated
+    return passages.repeated(spark, _table(spark, sf_dir, "documents"))
 
-    return repeated(spark, _docs(spark, sf_dir))
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"))
 
-def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .near_duplicates import groups
 
-    return groups(spark, _docs(spark, sf_dir))
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_decontaminate, op8_passages, op10_near_duplicates)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_model, op2_sharding, op3_top_k, op4_pii, op5_licences, op6_resample, op7_decontaminate, op8_passages, op9_packing, op10_near_duplicates)}
+ORACLE_SQL = {"op3_top_k": topk.ORACLE, "op5_licences": licences.oracle()}
