@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, map_array, put_array, sized
@@ -79,7 +79,8 @@ def _ratio(where: str) -> np.ndarray:
     return _loaded[where]
 
 
-_HALF = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2))
+def _half() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2))
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -160,7 +161,7 @@ def _fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, s: Scratch) ->
     n = known.count()
     sample = text.join(sized(known, n), "doc_id")
     good = sample.where("quality > 0")
-    target = _model(good.where(_HALF == 0).select("doc_id", "text"))
+    target = _model(good.where(_half() == 0).select("doc_id", "text"))
     if not target.any():
         target = _model(good.select("doc_id", "text"))
     if not target.any():
@@ -169,7 +170,7 @@ def _fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, s: Scratch) ->
     where = s.path("ratio.npy")
     put_array(where, log_ratio(target, raw))
     keys = s.table(text.mapInArrow(_keyed(where), "doc_id long, log_weight double, draw double"), "keys")
-    rows = keys.join(sized(known, n), "doc_id").select("log_weight", "quality", _HALF.alias("half")).toPandas()  # FIT_ROWS at most, times repeated rows
+    rows = keys.join(sized(known, n), "doc_id").select("log_weight", "quality", _half().alias("half")).toPandas()  # FIT_ROWS at most, times repeated rows
     other = rows[rows.half == 1]
     if set(other.quality > 0) == {True, False}:
         rows = other
