@@ -31,7 +31,8 @@ N_WORDS = 8
 #: Benchmark items per pass over the training data: bounds what a worker maps.
 ITEMS_PER_PASS = 2_000_000
 SAMPLE = 16
-SHARD_CHARS = 4_000_000
+#: Bytes of text in a shard.
+SHARD_BYTES = 2_000_000
 
 
 class Ranks:
@@ -242,7 +243,7 @@ def _prepare(spark: SparkSession, benchmark: DataFrame, n: int) -> tuple[str, in
 
 
 def _shards(batch: pa.RecordBatch, column: str):
-    return pieces(batch, column, SHARD_CHARS)
+    return pieces(batch, column, SHARD_BYTES)
 
 
 _FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))), T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("removed_chars", T.IntegerType())])
