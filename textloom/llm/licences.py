@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textops import Words, pieces, words
 
 SLACK = 3
@@ -138,6 +139,7 @@ def _frequencies(codes: np.ndarray):
 
 def scan(spark: SparkSession, docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, licence, start, stop) of each notice, in characters of the text."""
+    small_batches(spark)
     ts = parsed(templates or TEMPLATES)
     plain = Index(ts)
     codes = np.array([plain.code[x] for x in plain.vocabulary], np.uint64)
