@@ -137,4 +137,5 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, win
     total = sizes.agg(F.coalesce(F.sum(F.ceil(F.col("tokens") / piece)), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_PIECES))
     keyed = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards)))
-    return keyed.groupBy("shard").applyInArrow(_pack(window, most_docs, attention, piece, rule), _ROW)
+    # as many tasks as shards, which are small and slow: nothing coalesces them
+    return keyed.repartition(int(shards), "shard").groupBy("shard").applyInArrow(_pack(window, most_docs, attention, piece, rule), _ROW)
