@@ -91,7 +91,8 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 def log_weights(texts: list[str | None], ratio: np.ndarray) -> np.ndarray:
     one, d1, two, d2 = features(texts)
-    return np.bincount(d1, ratio[one], len(texts)) + np.bincount(d2, ratio[two], len(texts))
+    total = np.bincount(d1, ratio[one], len(texts)) + np.bincount(d2, ratio[two], len(texts))
+    return total.astype(np.float64)  # counts of nothing come as integers
 
 
 def gumbel(ids: list[int | None], texts: list[str | None], seed: int = SEED) -> np.ndarray:
