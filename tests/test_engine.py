@@ -116,7 +116,7 @@ def test_stream_equals_batch(spark, tmp_path):
         (tmp_path / "in" / f"{i}.txt").write_text(f"Title {i}\n\na   line\nof text {i}")
     s = stream.cleaned(stream.text_files(spark, str(tmp_path / "in")), "value")
     stream.to_files(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    batch = Pipeline.from_config().apply(spark.read.option("wholetext", True).text(str(tmp_path / "in")), "value")
+    batch = Pipeline.from_config().apply(spark.read.text(str(tmp_path / "in"), wholetext=True), "value")
     assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(r.value for r in batch.collect())
     seen = []
     stream.each_batch(s, str(tmp_path / "cp2"), lambda d, n: seen.append(d.count())).awaitTermination()

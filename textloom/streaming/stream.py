@@ -10,7 +10,7 @@ from ..plans.pipeline import Pipeline
 
 def text_files(spark: SparkSession, path: str, whole: bool = True, per_trigger: int = 1000) -> DataFrame:
     """A stream of text files: (value), one row a file or a line."""
-    return spark.readStream.option("wholetext", whole).option("maxFilesPerTrigger", per_trigger).text(path)
+    return spark.readStream.option("maxFilesPerTrigger", per_trigger).text(path, wholetext=whole)  # as an option, the argument's default overrides it
 
 
 def parquet_files(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:
