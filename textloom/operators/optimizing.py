@@ -25,7 +25,8 @@ def remove_redundant_phrases(df: DataFrame, c: str) -> DataFrame:
 
 def condense_repetitive_patterns(df: DataFrame, c: str) -> DataFrame:
     """Repeated words to the first, then drop lines equal to the last non-blank line."""
-    df = df.withColumn(c, sub(F.col(c), r"(\b\w+\b)(?:\s+\1\b)+", "$1", "i"))
+    w = r"[\p{L}\p{N}_]"  # combining marks aren't part of a word
+    df = df.withColumn(c, sub(F.col(c), rf"(?<!{w})({w}+)(?!{w})(?:\s+\1(?!{w}))+", "$1", "i"))
     df = df.withColumn("_l", F.transform(lines(F.col(c)), lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"), x.alias("x"))))
     df = df.withColumn("_f", F.filter("_l", lambda r: r["s"] != ""))
     df = df.withColumn("_d", F.transform(F.filter("_f", lambda r, i: (i > 0) & (F.get(F.col("_f"), i - 1)["s"] == r["s"])), lambda r: r["i"]))

@@ -198,11 +198,12 @@ def plain_by_rules(text: str) -> str:
 
     def table(m: re.Match) -> str:
         rows = [x for x in m.group().splitlines() if not re.match(r"^\s*\|[-\s:|]+\|\s*$", x)]
-        return "".join("  ".join(c.strip() for c in x.split("|")[1:-1]) + "\n" for x in rows)
+        return "\0".join("  ".join(c.strip() for c in x.split("|")[1:-1]) for x in rows) + "\n"  # rows stay together
 
     text = re.sub(r"(?m)(?:^[ \t]*\|.*\|[ \t]*(?:\n|\Z)){2,}", table, text)
     text = re.sub(r"\n{3,}", "\n\n", text)
-    return re.sub(r"(\w)\n(\w)", r"\1\n\n\2", text).strip() if "|" not in text else text.strip()
+    text = re.sub(r"(\w)\n(\w)", r"\1\n\n\2", text) if "|" not in text else text
+    return text.replace("\0", "\n").strip()
 
 
 def plain_text(df: DataFrame, c: str, out: str) -> DataFrame:
