@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,10 @@ METADATA = "file_name string, file_extension string, file_size_bytes bigint, fil
 def scan(spark: SparkSession, path: str, recursive: bool = True, extensions: list[str] | None = None) -> DataFrame:
     """path, ext, name, stem, length, modified; contents are read only where they are used."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    # Spark lists empty files (the driver holds the list anyway) but never reads them
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in df.inputFiles()], "path string")
+    empty = listed.join(df.select("path"), "path", "left_anti")
+    df = df.unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     df = df.withColumns({"ext": extension(F.col("path")), "name": file_name(F.col("path"))}).withColumn("stem", stem(F.col("path")))
     if extensions:
         df = df.where(F.col("ext").isin(["." + e.lower().lstrip(".") for e in extensions]))
