@@ -262,6 +262,18 @@ def test_passages(spark):
     assert passages.repeated(spark, frame(spark, texts[:2] + texts[-3:])).count() == 0
 
 
+def test_passage_near_a_longer_one(spark):
+    """The best-scoring predecessor is out of reach; the one just before is not."""
+    rng = random.Random(17)
+    long, piece = prose(rng, 500, 5000), prose(rng, 57, 5000).split()
+    first = f"{long} {prose(rng, 40, 5000)} {' '.join(piece)} {prose(rng, 30, 5000)}"
+    second = f"{long} {prose(rng, 40, 5000)} {' '.join([*piece[:28], 'inserted', *piece[28:]])} {prose(rng, 30, 5000)}"
+    got = sorted((r.start, r.words) for r in passages.repeated(spark, frame(spark, [first, second])).collect())
+    assert len(got) == 2 and got[0][1] >= 500 and 57 <= got[1][1] <= 60
+    seg = np.array([(0, 500, 0, 500, 300), (540, 568, 540, 568, 20), (568, 597, 569, 598, 20)])
+    assert passages.chain(seg) == [[0], [1, 2]]
+
+
 def naive_best_fit(sizes):
     caps = (packing.WINDOW, packing.DOCS, packing.ATTENTION)
     demand = [(n / caps[0], 1 / caps[1], n * n / caps[2]) for n in sizes]
