@@ -274,6 +274,18 @@ def test_passage_near_a_longer_one(spark):
     assert passages.chain(seg) == [[0], [1, 2]]
 
 
+def test_passages_of_repeated_ids(spark):
+    rng = random.Random(18)
+    shared = prose(rng, 80, 5000)
+    texts = [f"{prose(rng, n, 5000)} {shared} {prose(rng, 30, 5000)}" for n in (20, 90, 40)]
+    base = passages.repeated(spark, frame(spark, texts)).collect()
+    rows = [(i, t) for i, t in enumerate(texts, 1)]
+    same = spark.createDataFrame(rows + rows[:2], "doc_id long, text string")
+    assert Counter(passages.repeated(spark, same).collect()) == Counter(base) and base
+    other = [(1, f"~ {prose(rng, 200, 5000)}"), (2, f"~ {shared[::-1]} {shared}"), (3, None)]  # "~" sorts after the words
+    assert Counter(passages.repeated(spark, spark.createDataFrame(other + rows, "doc_id long, text string")).collect()) == Counter(base)
+
+
 def naive_best_fit(sizes):
     caps = (packing.WINDOW, packing.DOCS, packing.ATTENTION)
     demand = [(n / caps[0], 1 / caps[1], n * n / caps[2]) for n in sizes]
