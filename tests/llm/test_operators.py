@@ -286,6 +286,24 @@ def test_passages_of_repeated_ids(spark):
     assert Counter(passages.repeated(spark, spark.createDataFrame(other + rows, "doc_id long, text string")).collect()) == Counter(base)
 
 
+def test_passage_first_seen_in_parts(spark):
+    rng = random.Random(19)
+    w = prose(rng, 100, 5000).split()
+    held = {5: w[:45], 6: w[45:], 20: w, 25: w[:30], 30: w}
+    docs = spark.createDataFrame([(i, f"{prose(rng, 40, 5000)} {' '.join(p)} {prose(rng, 40, 5000)}") for i, p in held.items()], "doc_id long, text string")
+    got = {(r.first_doc_id, r.doc_id): r.words for r in passages.repeated(spark, docs).collect()}
+    assert got.keys() == {(20, 30), (6, 20), (6, 30)}  # 6 has 55 words of it
+    assert 100 <= got[20, 30] <= 102
+
+
+def test_word_said_over_and_over(spark):
+    rng = random.Random(20)
+    docs = frame(spark, [f"{prose(rng, n, 5000)} {'again ' * m} {prose(rng, 30, 5000)}" for n, m in ((20, 3000), (70, 3000), (40, 400))])
+    got = {(r.first_doc_id, r.doc_id): r.words for r in passages.repeated(spark, docs).collect()}
+    assert got[1, 2] >= 3000 and got[1, 3] >= 400
+    assert len(passages.seeds(["again " * 3000])[0]) <= 3000 / passages.STEP + 1
+
+
 def naive_best_fit(sizes):
     caps = (packing.WINDOW, packing.DOCS, packing.ATTENTION)
     demand = [(n / caps[0], 1 / caps[1], n * n / caps[2]) for n in sizes]
