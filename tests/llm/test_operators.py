@@ -188,6 +188,19 @@ def test_resampling_keeps_good_documents(spark):
     assert resample.select(spark, docs, labels(spark)).count() == 450
 
 
+def test_resampling_rejects_toxic_documents(spark):
+    rng = random.Random(21)
+    plain, slurs = ["river", "stone", "light", "paper", "music", "the", "of", "and"], ["idiot", "scum", "moron"]
+    clean = [" ".join(rng.choice(plain) for _ in range(80)) for _ in range(300)]
+    toxic = [" ".join(rng.choice(plain if rng.random() < 0.6 else slurs) for _ in range(80)) for _ in range(150)]
+    docs = frame(spark, clean + toxic)
+    known = labels(spark, [(i, 1, int(i > 300)) for i in range(1, 451) if i % 3 == 0])
+    ids = {r.doc_id for r in resample.select(spark, docs, known).collect()}
+    unseen = [i for i in range(1, 451) if i % 3]
+    assert sum(i in ids for i in unseen if i <= 300) >= 0.97 * sum(i <= 300 for i in unseen)
+    assert sum(i in ids for i in unseen if i > 300) <= 0.1 * sum(i > 300 for i in unseen)
+
+
 def test_resampling_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     known = spark.read.parquet(f"{SF}/labels.parquet")

@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
 Two hashed n-gram models (words, signs and their pairs, in BUCKETS buckets): of the
-target text (documents labelled good) and of the raw text (every document). A
+target text (documents labelled good and not toxic) and of the raw text (every document). A
 document's log weight is the sum over its n-grams of log target - log raw, where
 PRIOR occurrences at the raw rate are added to each bucket, so that n-grams too rare
 to tell say nothing; the k documents of the largest log weight + Gumbel noise are the sample: drawing without
@@ -156,7 +156,7 @@ def _among(d: DataFrame, lo: float, hi: float, k: int) -> float:
 def _fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, s: Scratch) -> tuple[str, float, float] | None:
     """(path of the log ratios, k-th key, threshold), or None without good rows."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("toxic").cast("int") == 1, 0).otherwise(F.col("quality").cast("int")).alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     known = s.table(known, "known")
     n = known.count()
