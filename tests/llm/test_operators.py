@@ -40,33 +40,52 @@ def labels(spark, rows=()):
     return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
 
 
-def test_language_model_is_kneser_ney(spark):
-    texts = ["the cat sat on the mat", "The cat ate; the dog sat", "a dog on a mat sat", None, "", "the cat", "on the mat on the cat"]
-    got = {r.doc_id: r for r in language_model.perplexity(spark, frame(spark, texts)).collect()}
-    c, docs = Counter(), [tokens(t) for t in texts]
-    for d in docs:
-        c.update(zip(["<s>", *d], [*d, "</s>"], strict=True) if d else [])
-    before = Counter(w for _, w in c)
-    of = lambda xs: language_model.discounts([sum(x == i for x in xs) for i in (1, 2, 3, 4)])
-    d1, d2 = of(before.values()), of(c.values())
-    rest = sum(d1[min(x, 3)] for x in before.values())
-
-    def p(u, w):
-        base = (max(before[w] - d1[min(before[w], 3)], 0) + rest / (len(before) + 1)) / len(c)
-        seen = [x for (a, _), x in c.items() if a == u]
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_is_kneser_ney(spark, order, monkeypatch):
+    monkeypatch.setattr(language_model, "FEW", 2)
+    texts = ["the cat sat on the mat", "The cat ate; the dog sat", "a dog on a mat sat", None, "", "the cat", "on the mat on the cat", "the cat sat on the mat again", "so so so so so so so so"]
+    got = {r.doc_id: r for r in language_model.perplexity(spark, frame(spark, texts), order=order).collect()}
+    padded = [["<s>"] * (order - 1) + tokens(t) + ["</s>"] if tokens(t) else [] for t in texts]
+    runs = [[tuple(d[i : i + order]) for i in range(len(d) - order + 1)] for d in padded]
+    counts = {order: Counter(x for d in runs for x in d)}
+    for k in range(order - 1, 0, -1):  # how many different words stand before each
+        counts[k] = Counter(x[1:] for x in counts[k + 1])
+    d = {k: language_model.discounts([sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]) for k, c in counts.items()}
+
+    def p(x):
+        k = len(x)
+        if k == 1:
+            rest = sum(d[1][min(c, 3)] for c in counts[1].values())
+            c = counts[1][x]
+            return (max(c - d[1][min(c, 3)], 0) + rest / (len(counts[1]) + 1)) / sum(counts[1].values())
+        seen = [c for y, c in counts[k].items() if y[:-1] == x[:-1]]
         if not seen:
-            return base
-        return (max(c[u, w] - d2[min(c[u, w], 3)], 0) + sum(d2[min(x, 3)] for x in seen) * base) / sum(seen)
-
-    for u in ("<s>", "the", "mat"):
-        assert abs(sum(p(u, w) for w in before) + p(u, "unknown") - 1) < 1e-9
-    for i, d in enumerate(docs, 1):
-        if not d:
+            return p(x[1:])
+        c = counts[k][x]
+        return (max(c - d[k][min(c, 3)], 0) + sum(d[k][min(c, 3)] for c in seen) * p(x[1:])) / sum(seen)
+
+    for x in (runs[0][0], runs[1][2], runs[2][3]):
+        assert abs(sum(p((*x[:-1], *w)) for w in counts[1]) + p((*x[:-1], "unknown")) - 1) < 1e-9
+    for i, mine in enumerate(runs, 1):
+        if not mine:
             assert got[i].perplexity is None and got[i].n_words == 0
             continue
-        bits = -sum(math.log2(p(u, w)) for u, w in zip(["<s>", *d], [*d, "</s>"], strict=True))
+        bits = -sum(math.log2(p(x)) for x in mine)
         assert got[i].bits == pytest.approx(bits, rel=1e-9)
-        assert got[i].perplexity == pytest.approx(2 ** (bits / (len(d) + 1)), rel=1e-9)
+        assert got[i].perplexity == pytest.approx(2 ** (bits / len(mine)), rel=1e-9)
+
+
+def test_language_model_of_other_texts(spark):
+    """Unknown words and contexts; many parts; large counts."""
+    rng = random.Random(31)
+    corpus = frame(spark, [prose(rng, 200, 60) for _ in range(40)] + ["again " * 900])
+    new = frame(spark, ["never seen words here", "again again again", "w1 w2 never w3", prose(rng, 50, 60)])
+    got = [r.perplexity for r in language_model.perplexity(spark, new, corpus).orderBy("doc_id").collect()]
+    assert got[1] < got[3] < got[2] and got[3] < got[0]
+    n = np.array([1, 254, 255, 256, 70_000])
+    columns = [np.array([5, 5, 7, 9, 9], np.uint32), np.array([1, 1, 1, 2, 2], np.uint32), np.array([3, 4, 1, 1, 2], np.uint32)]
+    back, counts = language_model.decoded(language_model.encoded(columns, n), 3)
+    assert all((a == b).all() for a, b in zip(back, columns, strict=True)) and (counts == n).all()
 
 
 def test_differencing():

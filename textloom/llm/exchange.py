@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "part int, payload binary"
 
@@ -36,17 +37,42 @@ def unpack(payload: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
     return out
 
 
+#: Most tasks of one exchange; beyond it a task takes several parts, one after the other.
+MOST_TASKS = 50_000
+
+
+def parts_for(spark: SparkSession, records: int, each: int) -> int:
+    """Parts of about ``each`` records, as many as the session has shuffle partitions at least."""
+    return max(parts(spark), -(-records // each))
+
+
 def exchange(df: DataFrame, n: int) -> DataFrame:
-    """Bring the rows of each part together, each part in a partition of its own."""
-    return df.repartitionById(n, "part")
+    """Bring the rows of each of ``n`` parts together, in order of their parts.
+
+    Up to MOST_TASKS parts have a task each; beyond, Spark's external sort brings a task's parts one by one.
+    """
+    if n <= MOST_TASKS:
+        return df.repartitionById(n, "part")
+    task = F.floor(F.col("part").cast("long") * MOST_TASKS / n).cast("int")
+    return df.withColumn("_task", task).repartitionById(MOST_TASKS, "_task").drop("_task").sortWithinPartitions("part")
 
 
 def gathered(batches, kinds: tuple[type, ...]):
     """(part, arrays) of each part whose rows are in this partition."""
-    held: dict[int, list[list[np.ndarray]]] = {}
+    for part, got in by_part(batches):
+        got = [unpack(payload, kinds) for payload in got]
+        yield part, [np.concatenate([g[i] for g in got]) for i in range(len(kinds))]
+
+
+def by_part(batches):
+    """(part, payloads) of each part; no more than one part is held, as an exchange brings them in order."""
+    now, held = -1, []
     for b in batches:
         for part, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held.setdefault(part, []).append(unpack(payload, kinds))
-    for part in sorted(held):
-        got = held.pop(part)
-        yield part, [np.concatenate([g[i] for g in got]) for i in range(len(kinds))]
+            if part != now and held:
+                yield now, held
+                held = []
+            now = part
+            held.append(payload)
+    if held:
+        yield now, held

@@ -1,125 +1,292 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped by workers.
-
-Counting: each task turns its documents into 64-bit keys (32 bits of the context's
-hash, 32 of the word's), sorts and sums them, and sends one block of them to each
-range of contexts. A range's task merges its blocks and writes sorted arrays of
-keys and counts and, for each context, the total and the numbers of words seen
-once, twice and more often. Words' continuation counts (how many contexts precede
-them) travel on in blocks by word. Every document counts; nothing is sampled.
-
-The order is two: a trigram table of such text is most of the input's size again
-(some 0.7 distinct trigrams a word), and its shuffle with it. Two words whose 32
-bits agree share their counts, which for a million words befalls about 100 pairs.
-
-Scoring: p(w|u) = max(c - D(c), 0) / c(u) + (D1 n1(u) + D2 n2(u) + D3 n3(u)) / c(u) * p(w),
-p(w) = the same with continuation counts over the uniform distribution. D from the
-numbers of n-grams seen 1 to 4 times; where one of these is zero (tiny inputs),
-D = 0.5, 0.75, 0.9. An unknown context leaves p(w).
-
-Defined results: null and empty texts aren't counted, and their perplexity is null;
-a repeated row counts each time; an empty table gives no rows.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, memory-mapped by workers.
+
+1. Vocabulary: every distinct word, by its 64-bit hash, gets a number of 32 bits;
+   frequent words get small ones. Sorted arrays of hashes and numbers are written.
+2. Counting: each task turns its documents into runs of ``order`` numbers, sorts and
+   sums them, and sends one compressed block of them to each range of hashed contexts
+   (the runs without their last word). A range's task merges its blocks and writes
+   sorted arrays: contexts, each one's words and their counts.
+3. Each distinct run counts once for its suffix, which is one word shorter: these
+   continuation counts travel on in blocks to the ranges of their own contexts, level
+   by level, down to single words.
+
+Documents begin with order - 1 begin marks and end with an end mark. Contexts of one
+and two words are exact keys, longer ones 64-bit hashes. Every document counts;
+nothing is sampled. Parts hold about EACH tokens, however many there are.
+
+Scoring, for each order: p(w|u) = max(c - D(c), 0) / c(u) + (D1 n1(u) + D2 n2(u) + D3 n3(u)) / c(u) * p(w|u'),
+where u' is u without its first word; single words over the uniform distribution. D from
+the numbers of n-grams seen 1 to 4 times; where one of these is zero (tiny inputs),
+D = 0.5, 0.75, 0.9. An unknown context leaves p(w|u').
+
+Defined results: null and empty texts (and those without a word) aren't counted, and
+their perplexity is null; very long texts are counted and scored whole; a repeated row
+counts each time, and gets the same score each time; there are no ties; an empty table
+gives no rows; only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
-import json
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exchange import SCHEMA, exchange, gathered, pack, part_of, parts
+from .exchange import SCHEMA, by_part, exchange, gathered, pack, part_of, parts, parts_for
 from .shared import Scratch, bounds, map_array, put_array
-from .textops import pieces, words
+from .textops import mix, pieces, words
 
-#: Context of a document's first word, and the word that ends it.
-BEGIN, END = np.uint64(1), np.uint64(2)
-#: Keys that a task sums before it sends them on.
-HELD = 6_000_000
-_LOW = np.uint64(0xFFFFFFFF)
+ORDER = 3
+#: Numbers of the marks, and of a word that the vocabulary lacks.
+BEGIN, END, UNKNOWN = 0, 1, 0xFFFFFFFF
+#: N-grams that a task sums before it sends them on; tokens in a part.
+HELD, EACH = 4_000_000, 8_000_000
+#: Contexts with more words than this have their sums written.
+FEW = 16
+_S32 = np.uint64(32)
 
 
-def bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all bigrams of the texts that hold a word, in order, and the number of each text's keys."""
-    w = words(texts)
-    h = w.hash >> np.uint64(32)
-    np.maximum(h, np.uint64(3), out=h)
-    size = np.diff(w.first)
-    have = size > 0
-    n = np.where(have, size + 1, 0)
-    last = np.cumsum(n)[have] - 1
-    word = np.empty(n.sum(), np.uint64)
-    real = np.ones(len(word), bool)
-    real[last] = False
-    word[real] = h
-    word[last] = END
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    if len(word):
-        context[np.concatenate(([0], last[:-1] + 1))] = BEGIN
-    return (context << np.uint64(32)) | word, n
-
-
-def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with the sum of their counts."""
-    if counts is None:
-        keys = np.sort(keys)
-        e = bounds(keys)
-        return keys[e[:-1]], np.diff(e).astype(np.uint32)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     e = bounds(keys)
-    return keys[e[:-1]], np.add.reduceat(counts[order], e[:-1]).astype(np.uint32) if len(keys) else counts[:0]
-
-
-def _blocks(keys: np.ndarray, counts: np.ndarray, n: int) -> pa.RecordBatch:
-    """Sorted keys and counts by range. Contexts repeat along the keys: a mark and the distinct ones stand for them."""
-    part = part_of(keys, n)
-    which, lo = np.unique(part, return_index=True)
-    hi = np.append(lo[1:], len(part))
-    rows = []
-    for i, j in zip(lo, hi, strict=True):
-        k, c = keys[i:j], counts[i:j]
-        top = (k >> np.uint64(32)).astype(np.uint32)
-        new = np.concatenate(([True], top[1:] != top[:-1]))
-        big = np.flatnonzero(c > 254)
-        head = np.array([len(k), int(new.sum()), len(big)], np.uint32)
-        rows.append(b"".join(x.tobytes() for x in (head, top[new], (k & _LOW).astype(np.uint32), np.packbits(new), np.minimum(c, 255).astype(np.uint8), big.astype(np.uint32), c[big].astype(np.uint32))))
-    return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(rows, pa.binary())], ["part", "payload"])
-
-
-def _unblock(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m, b = np.frombuffer(payload, np.uint32, 3).tolist()
-    at = 12
-
-    def take(kind, k):
-        nonlocal at
-        x = np.frombuffer(payload, kind, k, at)
-        at += x.nbytes
-        return x
-
-    top, low, new, c = take(np.uint32, m), take(np.uint32, n), take(np.uint8, (n + 7) // 8), take(np.uint8, n)
-    big, more = take(np.uint8, 4 * b).view(np.uint32), take(np.uint8, 4 * b).view(np.uint32)
-    counts = c.astype(np.uint32)
-    counts[big] = more
-    at_top = np.cumsum(np.unpackbits(new, count=n)) - 1
-    return (top[at_top].astype(np.uint64) << np.uint64(32)) | low, counts
-
-
-def _count(n: int):
+    return keys[e[:-1]], np.add.reduceat(counts[order].astype(np.int64), e[:-1]) if len(keys) else counts[:0].astype(np.int64)
+
+
+# vocabulary
+
+
+def _distinct(n: int):
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for _, texts in pieces(batch, "text"):
-                k, _ = bigrams(texts)
-                held.append(k)
-                size += len(k)
+                w = words(texts)
+                h, c = np.unique(w.hash, return_counts=True)
+                held.append((h, c, int((np.diff(w.first) > 0).sum())))
+                size += len(h)
+                if size >= HELD // 4:
+                    yield _counted(held, n)
+                    held, size = [], 0
+        if size:
+            yield _counted(held, n)
+
+    return run
+
+
+def _counted(held: list, n: int) -> pa.RecordBatch:
+    h, c = summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+    return pack(part_of(h, n), [h, c])
+
+
+def _number(where: str, n: int):
+    def run(batches):
+        for part, (h, c) in gathered(batches, (np.uint64, np.int64)):
+            h, c = summed(h, c)
+            rank = np.empty(len(h), np.int64)
+            rank[np.lexsort((h, -c))] = np.arange(len(h))
+            number = rank * n + part + 2
+            if len(h) and int(number.max()) >= UNKNOWN:
+                raise ValueError("more words than 32 bits number")
+            put_array(f"{where}/vocabulary-{part}.npy", bundle(h, number.astype(np.uint32)))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64())], ["part", "words", "tokens"])
+
+    return run
+
+
+# files of several arrays
+
+
+def bundle(*arrays: np.ndarray) -> np.ndarray:
+    """Arrays in one: a head (number, then type and length of each), and each at a multiple of 8 bytes."""
+    head = np.array([len(arrays), *(v for a in arrays for v in (ord(a.dtype.char), len(a)))], np.int64)
+    rows = [head.tobytes()]
+    for a in arrays:
+        b = np.ascontiguousarray(a).tobytes()
+        rows.append(b + b"\0" * (-len(b) % 8))
+    return np.frombuffer(b"".join(rows), np.uint8)
+
+
+def unbundle(a: np.ndarray) -> list[np.ndarray]:
+    k = int(a[:8].view(np.int64)[0])
+    head = a[8 : 8 + 16 * k].view(np.int64)
+    out, at = [], 8 + 16 * k
+    for kind, n in head.reshape(-1, 2).tolist():
+        t = np.dtype(chr(kind))
+        size = n * t.itemsize
+        out.append(a[at : at + size].view(t))
+        at += size + -size % 8
+    return out
+
+
+class Files:
+    """Mapped files of a model, by name and part; a missing part holds nothing."""
+
+    MOST = 8192
+
+    def __init__(self, where: str):
+        self.where, self.open = where, {}
+
+    def get(self, name: str, part: int) -> list[np.ndarray] | None:
+        key = (name, part)
+        if key not in self.open:
+            if len(self.open) >= self.MOST:
+                self.open.clear()
+            try:
+                self.open[key] = unbundle(map_array(f"{self.where}/{name}-{part}.npy"))
+            except FileNotFoundError:  # only after the count of parts is known to be complete: see Model
+                self.open[key] = None
+        return self.open[key]
+
+    def each(self, name: str, part: np.ndarray):
+        """(arrays, index of the rows) for the parts of some rows."""
+        order = np.argsort(part, kind="stable")
+        e = bounds(part[order])
+        for i, j in zip(e[:-1].tolist(), e[1:].tolist(), strict=True):
+            if got := self.get(name, int(part[order[i]])):
+                yield got, order[i:j]
+
+
+def numbered(h: np.ndarray, files: Files, n: int) -> np.ndarray:
+    """The numbers of words, by their hashes."""
+    u, back = np.unique(h, return_inverse=True)
+    out = np.full(len(u), UNKNOWN, np.uint32)
+    for (known, number), rows in files.each("vocabulary", part_of(u, n)):
+        at = np.minimum(np.searchsorted(known, u[rows]), len(known) - 1)
+        out[rows] = np.where(known[at] == u[rows], number[at], np.uint32(UNKNOWN))
+    return out[back]
+
+
+# counting
+
+
+def ngrams(texts: list[str | None], files: Files, n: int, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """A column of numbers for each place of the n-grams of the texts, in order; and the number of each text's n-grams."""
+    w = words(texts)
+    size = np.diff(w.first)
+    have = size[size > 0]
+    total = have + order
+    stop = np.cumsum(total)
+    seq = np.full(int(total.sum()), BEGIN, np.uint32)
+    real = np.zeros(len(seq), bool)
+    at = np.arange(len(w.hash)) + np.repeat(np.arange(1, len(have) + 1) * (order - 1) + np.arange(len(have)), have)
+    seq[at] = numbered(w.hash, files, n)
+    real[at] = True
+    seq[stop - 1] = END
+    real[stop - 1] = True
+    target = np.flatnonzero(real)
+    return [seq[target - i] for i in range(order - 1, -1, -1)], np.where(size > 0, size + 1, 0)
+
+
+def context_key(columns: list[np.ndarray]) -> np.ndarray:
+    """Key of the contexts whose words are in ``columns``: exact for one and two words, else a hash."""
+    k = columns[0].astype(np.uint64)
+    if len(columns) == 2:
+        return (k << _S32) | columns[1]
+    for c in columns[1:]:
+        k = mix(k * np.uint64(0x9E3779B97F4A7C15) + c)
+    return k
+
+
+def parts_of(columns: list[np.ndarray], n: int, key: np.ndarray | None = None) -> np.ndarray:
+    """Part of n-grams: by their context; of single words by the word."""
+    if len(columns) == 1:
+        return part_of(mix(columns[0].astype(np.uint64)), n)
+    return part_of(mix(context_key(columns[:-1]) if key is None else key), n)
+
+
+def aggregated(columns: list[np.ndarray], counts: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams in order of context key and word, with the sums of their counts."""
+    if len(columns[0]) == 0:
+        return columns, np.zeros(0, np.int64)
+    if len(columns) == 1:
+        w, c = summed(columns[0], np.ones(len(columns[0]), np.int64) if counts is None else counts)
+        return [w], c
+    key = context_key(columns[:-1])
+    if len(columns) == 2:
+        order = np.argsort((key << _S32) | columns[1], kind="stable")
+    else:
+        order = np.lexsort((columns[-1], key))
+    key, last = key[order], columns[-1][order]
+    head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (last[1:] != last[:-1]))))
+    c = np.diff(np.append(head, len(key))) if counts is None else np.add.reduceat(counts[order].astype(np.int64), head)
+    first = order[head]
+    return [x[first] for x in columns], c
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Bytes of like rank together: they compress well."""
+    return np.ascontiguousarray(a.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplanes(b: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * n, at).reshape(4, n).T).view(np.uint32).ravel()
+
+
+def encoded(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """N-grams in order: each context once, a mark where one begins, the last words, and small counts as bytes."""
+    n, context = len(counts), columns[:-1]
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in context:
+        new[1:] |= c[1:] != c[:-1]
+    big = np.flatnonzero(counts > 254)
+    rows = [np.packbits(new).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), _planes(columns[-1]), big.astype(np.uint32).tobytes(), counts[big].astype(np.int64).tobytes()]
+    for i, c in enumerate(context):
+        c = c[new]
+        rows.append(_planes(np.diff(c, prepend=np.uint32(0)) if i == 0 else c))
+    body = b"".join(rows)
+    head = np.array([n, int(new.sum()), len(big), len(body)], np.int64)
+    return head.tobytes() + pa.compress(body, "zstd", asbytes=True)
+
+
+def decoded(payload: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    n, m, b, size = np.frombuffer(payload, np.int64, 4).tolist()
+    body = pa.decompress(memoryview(payload)[32:], size, "zstd", asbytes=True)
+    at = (n + 7) // 8
+    of = np.cumsum(np.unpackbits(np.frombuffer(body, np.uint8, at), count=n)) - 1
+    counts = np.frombuffer(body, np.uint8, n, at).astype(np.int64)
+    last = _unplanes(body, at + n, n)
+    at += 5 * n
+    big = np.frombuffer(body[at : at + 4 * b], np.uint32)
+    counts[big] = np.frombuffer(body[at + 4 * b : at + 12 * b], np.int64)
+    at += 12 * b
+    context = []
+    for i in range(width - 1):
+        c = _unplanes(body, at, m)
+        context.append((np.cumsum(c, dtype=np.uint32) if i == 0 else c)[of])
+        at += 4 * m
+    return [*context, last], counts
+
+
+def _blocks(columns: list[np.ndarray], counts: np.ndarray | None, n: int) -> pa.RecordBatch:
+    columns, counts = aggregated(columns, counts)
+    part = parts_of(columns, n)
+    order = np.argsort(part.astype(np.uint16) if n < 1 << 16 else part, kind="stable")
+    columns, counts, part = [c[order] for c in columns], counts[order], part[order]
+    e = bounds(part)
+    rows = [encoded([c[i:j] for c in columns], counts[i:j]) for i, j in zip(e[:-1].tolist(), e[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[e[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["part", "payload"])
+
+
+def _count(where: str, n_words: int, n: int, order: int):
+    def run(batches):
+        files, held, size = Files(where), [], 0
+        for batch in batches:
+            for _, texts in pieces(batch, "text"):
+                columns, _ = ngrams(texts, files, n_words, order)
+                if len(columns[0]) == 0:
+                    continue
+                held.append(columns)
+                size += len(columns[0])
                 if size >= HELD:
-                    yield _blocks(*summed(np.concatenate(held)), n)
+                    yield _blocks([np.concatenate(c) for c in zip(*held, strict=True)], None, n)
                     held, size = [], 0
         if size:
-            yield _blocks(*summed(np.concatenate(held)), n)
+            yield _blocks([np.concatenate(c) for c in zip(*held, strict=True)], None, n)
 
     return run
 
@@ -128,43 +295,58 @@ def _of(counts: np.ndarray) -> list[int]:
     return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def _merge(where: str, n: int):
-    """Write one range's arrays; send the words' continuation counts on, by word."""
+def _small(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    big = np.flatnonzero(counts > 254)
+    return np.minimum(counts, 255).astype(np.uint8), big.astype(np.uint32), counts[big].astype(np.int64)
+
+
+def _merge(where: str, width: int, n: int):
+    """Write one part's arrays of the n-grams of ``width`` words; send their suffixes' continuation counts on."""
 
     def run(batches):
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for b in batches:
-            for part, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(part, []).append(_unblock(payload))
-        for part in sorted(held):
-            got = held.pop(part)
-            keys, counts = summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+        for part, payloads in by_part(batches):
+            got = [decoded(p, width) for p in payloads]
+            columns, counts = aggregated([np.concatenate([g[0][i] for g in got]) for i in range(width)], np.concatenate([g[1] for g in got]))
             del got
-            context = keys >> np.uint64(32)
-            e = bounds(context)[:-1]
-            put_array(f"{where}/keys-{part}.npy", keys)
-            put_array(f"{where}/counts-{part}.npy", counts)
-            put_array(f"{where}/contexts-{part}.npy", context[e].astype(np.uint32))
-            put_array(f"{where}/totals-{part}.npy", np.stack([np.add.reduceat(x.astype(np.int64), e) for x in (counts, counts == 1, counts == 2, counts > 2)], 1))
-            w, times = summed(keys & _LOW)
-            to = part_of(w << np.uint64(32), n)
-            for p in [pack(to, [w.astype(np.uint32), times])]:
-                yield p.append_column("stats", pa.array([json.dumps(_of(counts))] + [None] * (p.num_rows - 1), pa.string()))
+            key = context_key(columns[:-1])
+            e = bounds(key)
+            start, size = e[:-1], np.diff(e)
+            hot = np.flatnonzero(size > FEW)
+            sums = np.stack([np.add.reduceat(x.astype(np.int64), start)[hot] for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
+            put_array(f"{where}/level{width}-{part}.npy", bundle(key[start], e.astype(np.uint32), columns[-1], *_small(counts), hot.astype(np.uint32), sums.ravel()))
+            put_array(f"{where}/stats{width}-{part}.npy", np.array(_of(counts), np.int64))
+            yield _blocks(columns[1:], None, n)
 
     return run
 
 
 def _words(where: str):
     def run(batches):
-        for part, (w, times) in gathered(batches, (np.uint32, np.uint32)):
-            w, times = summed(w, times)
-            put_array(f"{where}/words-{part}.npy", w)
-            put_array(f"{where}/before-{part}.npy", times)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([json.dumps([len(w), int(times.sum()), *_of(times), int((times > 2).sum())])])], ["part", "stats"])
+        for part, payloads in by_part(batches):
+            got = [decoded(p, 1) for p in payloads]
+            (w,), c = aggregated([np.concatenate([g[0][0] for g in got])], np.concatenate([g[1] for g in got]))
+            put_array(f"{where}/level1-{part}.npy", bundle(w, c))
+            put_array(f"{where}/stats1-{part}.npy", np.array([*_of(c), len(w), int(c.sum()), int((c > 2).sum())], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(w)], pa.int64())], ["part", "words"])
 
     return run
 
 
+def _stats(spark: SparkSession, where: str, n: int, level: int) -> list[int]:
+    """Sums of the parts' statistics of one level."""
+
+    def run(batches):
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                try:
+                    yield pa.RecordBatch.from_arrays([pa.array([map_array(f"{where}/stats{level}-{p}.npy").tolist()], pa.list_(pa.int64()))], ["s"])
+                except FileNotFoundError:
+                    continue  # a part without n-grams
+
+    df = spark.range(0, n, 1, min(n, spark.sparkContext.defaultParallelism)).mapInArrow(run, "s array<long>")
+    return [int(x or 0) for x in df.agg(*[F.sum(F.get("s", F.lit(i))) for i in range(7)]).first()]
+
+
 def discounts(n: list[int]) -> list[float]:
     """Of counts 0, 1, 2 and more, from the numbers of n-grams seen 1 to 4 times."""
     if min(n) <= 0:
@@ -174,95 +356,113 @@ def discounts(n: list[int]) -> list[float]:
     return d if all(0 < d[i] <= i for i in (1, 2, 3)) else [0.0, 0.5, 0.75, 0.9]
 
 
-def train(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> str:
+def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -> str:
     """Count the model over all texts and write it; returns its folder."""
-    s, n = scratch or Scratch(spark, "lm"), parts(spark)
+    if order < 2:
+        raise ValueError("order must be 2 at least")
+    s, n_words = scratch or Scratch(spark, "lm"), parts(spark)
     where = s.path("model")
     text = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    merged = exchange(text.mapInArrow(_count(n), SCHEMA), n).mapInArrow(_merge(where, n), SCHEMA + ", stats string")
-    merged = s.table(merged, "continuations")
-    two = [0, 0, 0, 0]
-    for i in range(4):
-        got = merged.select(F.sum(F.get_json_object("stats", f"$[{i}]").cast("long"))).first()[0]
-        two[i] = got or 0
-    one = exchange(merged.select("part", "payload"), n).mapInArrow(_words(where), "part int, stats string")
-    one = s.table(one, "unigrams")
-    got = one.agg(*[F.coalesce(F.sum(F.get_json_object("stats", f"$[{i}]").cast("long")), F.lit(0)) for i in range(7)]).first()
-    v, total, *c = (int(x) for x in got)
-    d1 = discounts(c[:4])
-    rest = d1[1] * c[0] + d1[2] * c[1] + d1[3] * c[4]
-    meta = [v, total, *d1, *discounts(two), rest, n]
-    put_array(f"{where}/meta.npy", np.array(meta, np.float64))
-    s.drop_table("continuations")
+    known = exchange(text.mapInArrow(_distinct(n_words), SCHEMA), n_words).mapInArrow(_number(where, n_words), "part int, words long, tokens long")
+    tokens = s.table(known, "vocabulary").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    n = parts_for(spark, tokens, EACH)
+    now = text.mapInArrow(_count(where, n_words, n, order), SCHEMA)
+    for width in range(order, 1, -1):
+        now = exchange(now, n).mapInArrow(_merge(where, width, n), SCHEMA)
+    s.table(exchange(now, n).mapInArrow(_words(where), "part int, words long"), "unigrams")
+    *c, v, total, more = _stats(spark, where, n, 1)
+    d = discounts(c)
+    rest = d[1] * c[0] + d[2] * c[1] + d[3] * more
+    higher = [discounts(_stats(spark, where, n, level)[:4]) for level in range(2, order + 1)]
+    put_array(f"{where}/meta.npy", np.array([order, n_words, n, v, total, rest, *d, *(x for h in higher for x in h)], np.float64))
     return where
 
 
 class Model:
-    """The arrays of a model, mapped; looked up with sorted keys."""
+    """The arrays of a model, mapped; looked up with distinct n-grams."""
 
     def __init__(self, where: str):
-        m = map_array(f"{where}/meta.npy")
-        self.v, self.total, self.d1, self.d2, self.rest, self.n = float(m[0]), float(m[1]), np.array(m[2:6]), np.array(m[6:10]), float(m[10]), int(m[11])
-        self.where, self.open = where, {}
-
-    def get(self, name: str, part: int) -> np.ndarray | None:
-        if (key := (name, part)) not in self.open:
-            try:
-                self.open[key] = map_array(f"{self.where}/{name}-{part}.npy")
-            except FileNotFoundError:
-                self.open[key] = None
-        return self.open[key]
-
-    def look(self, keys: np.ndarray, part: np.ndarray, index: str, *values: str) -> list[np.ndarray]:
-        """Values of sorted keys, 0 where there is none."""
-        out: list[np.ndarray | None] = [None] * len(values)
-        e = bounds(part)
-        for i, j in zip(e[:-1].tolist(), e[1:].tolist(), strict=True):
-            p = int(part[i])
-            a = self.get(index, p)
-            for k, name in enumerate(values):
-                v = self.get(name, p)
-                if v is None:
-                    continue
-                if out[k] is None:
-                    out[k] = np.zeros((len(keys), *v.shape[1:]), np.float64)
-                if k == 0:
-                    at = np.minimum(np.searchsorted(a, keys[i:j].astype(a.dtype)), len(a) - 1)
-                    hit = a[at] == keys[i:j]
-                out[k][i:j] = np.where(hit.reshape(-1, *[1] * (v.ndim - 1)), v[at], 0)
-        return [np.zeros(len(keys)) if o is None else o for o in out]
-
-    def log2(self, keys: np.ndarray) -> np.ndarray:
-        """log2 p(word | context) of each bigram key."""
-        if len(keys) == 0:
-            return np.zeros(0)
-        u, back = np.unique(keys, return_inverse=True)
-        part = part_of(u, self.n)
-        (c,) = self.look(u, part, "keys", "counts")
-        context = u >> np.uint64(32)
-        e = bounds(context)
-        (t,) = self.look(context[e[:-1]], part[e[:-1]], "contexts", "totals")
-        t = np.repeat(t if t.ndim == 2 else np.zeros((len(e) - 1, 4)), np.diff(e), axis=0)
-        w, to = np.unique(u & _LOW, return_inverse=True)
-        (before,) = self.look(w, part_of(w << np.uint64(32), self.n), "words", "before")
-        less = lambda x, d: np.maximum(x - d[np.minimum(x, 3).astype(np.int64)], 0)
-        base = 1 / (self.v + 1)  # one share for all that is unknown
-        p1 = (less(before, self.d1) + self.rest * base) / self.total if self.total else np.full(len(w), base)
-        p1 = p1[to]
-        seen = t[:, 0] > 0
-        total = np.where(seen, t[:, 0], 1)
-        p = np.where(seen, (less(c, self.d2) + (t[:, 1:] @ self.d2[1:]) * p1) / total, p1)
-        return np.log2(p)[back]
-
-
-_models: dict[str, Model] = {}
-
-
+        m = map_array(f"{where}/meta.npy")  # written last: all parts are there
+        self.order, self.n_words, self.n = (int(x) for x in m[:3])
+        self.v, self.total, self.rest = (float(x) for x in m[3:6])
+        self.d = np.asarray(m[6:]).reshape(self.order, 4)
+        self.files = Files(where)
+
+    def _counts(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of distinct n-grams; total and numbers of words seen once, twice and more of their contexts."""
+        key, last = context_key(columns[:-1]), columns[-1]
+        count, sums = np.zeros(len(key), np.int64), np.zeros((len(key), 4), np.int64)
+        for (keys, e, follow, c, big, more, hot, hot_sums), rows in self.files.each(f"level{len(columns)}", parts_of(columns, self.n, key)):
+            u, back = np.unique(key[rows], return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
+            known = keys[at] == u
+            lo, hi = e[at].astype(np.int64), np.where(known, e[at + 1], e[at]).astype(np.int64)
+            # sums of the contexts: written for those of many words
+            mine = np.zeros((len(u), 4), np.int64)
+            many = hi - lo > FEW
+            if many.any():
+                mine[many] = hot_sums.reshape(-1, 4)[np.searchsorted(hot, at[many])]
+            some = np.flatnonzero(~many & (hi > lo))
+            for i in range(FEW):
+                some = some[lo[some] + i < hi[some]]
+                if len(some) == 0:
+                    break
+                x = _wide(c, big, more, lo[some] + i)
+                mine[some, 0] += x
+                mine[some, np.minimum(x, 3)] += 1
+            sums[rows] = mine[back]
+            # the word among the context's: a binary search of all rows at once
+            a, b, w = lo[back], hi[back], last[rows]
+            end = b.copy()
+            while (open_ := a < b).any():
+                mid = (a + b) >> 1
+                less = open_ & (follow[np.minimum(mid, len(follow) - 1)] < w)
+                b = np.where(open_ & ~less, mid, b)
+                a = np.where(less, mid + 1, a)
+            hit = (a < end) & (follow[np.minimum(a, len(follow) - 1)] == w)
+            found = np.zeros(len(rows), np.int64)
+            found[hit] = _wide(c, big, more, a[hit])
+            count[rows] = found
+        return count, sums
+
+    def p(self, columns: list[np.ndarray]) -> np.ndarray:
+        """p(last word | those before it)."""
+        if len(columns) == 1:
+            u, back = np.unique(columns[0], return_inverse=True)
+            base = 1 / (self.v + 1)  # one share for all that is unknown
+            if not self.total:
+                return np.full(len(back), base)
+            before = np.zeros(len(u), np.int64)
+            for (w, c), rows in self.files.each("level1", parts_of([u], self.n)):
+                at = np.minimum(np.searchsorted(w, u[rows]), len(w) - 1)
+                before[rows] = np.where(w[at] == u[rows], c[at], 0)
+            return ((np.maximum(before - self.d[0][np.minimum(before, 3)], 0) + self.rest * base) / self.total)[back]
+        key, last = context_key(columns[:-1]), columns[-1]
+        order = np.lexsort((last, key))
+        k, w = key[order], last[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])))[: len(k)]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        mine = [c[order[new]] for c in columns]
+        lower = self.p(mine[1:])
+        c, t = self._counts(mine)
+        d = self.d[len(columns) - 1]
+        total = np.maximum(t[:, 0], 1)
+        return np.where(t[:, 0] > 0, (np.maximum(c - d[np.minimum(c, 3)], 0) + (t[:, 1:] @ d[1:]) * lower) / total, lower)[back]
+
+
+def _wide(c: np.ndarray, big: np.ndarray, more: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Counts at some places, from bytes and the list of those that a byte doesn't hold."""
+    x = c[at].astype(np.int64)
+    over = np.flatnonzero(x == 255)
+    if len(over):
+        x[over] = more[np.searchsorted(big, at[over])]
+    return x
+
+
+@lru_cache(1)
 def model(where: str) -> Model:
-    if where not in _models:
-        _models.clear()
-        _models[where] = Model(where)
-    return _models[where]
+    return Model(where)
 
 
 def score(docs: DataFrame, where: str) -> DataFrame:
@@ -271,8 +471,9 @@ def score(docs: DataFrame, where: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, texts in pieces(batch, "text"):
-                k, n = bigrams(texts)
-                p = np.concatenate(([0.0], np.cumsum(model(where).log2(k))))
+                m = model(where)
+                columns, n = ngrams(texts, m.files, m.n_words, m.order)
+                p = np.concatenate(([0.0], np.cumsum(np.log2(m.p(columns)))))
                 end = np.cumsum(n)
                 bits = p[end - n] - p[end]
                 none = n == 0
@@ -281,6 +482,6 @@ def score(docs: DataFrame, where: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words int, bits double, perplexity double")
 
 
-def perplexity(spark: SparkSession, docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+def perplexity(spark: SparkSession, docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER) -> DataFrame:
     """Count the model over ``corpus`` (the documents themselves, if none is given) and score every document."""
-    return score(docs, train(spark, docs if corpus is None else corpus))
+    return score(docs, train(spark, docs if corpus is None else corpus, order))
