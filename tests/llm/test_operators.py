@@ -88,21 +88,39 @@ def test_language_model_of_other_texts(spark):
     assert all((a == b).all() for a, b in zip(back, columns, strict=True)) and (counts == n).all()
 
 
+def naive_difference(sizes, k):
+    """The k sums: the two partial partitions of largest spread (then first made) are combined, until one is left."""
+    now = [(i, [x] + [0] * (k - 1)) for i, x in enumerate(sizes)]
+    made = len(now)
+    while len(now) > 1:
+        now.sort(key=lambda p: (p[1][-1] - p[1][0], p[0]))
+        (_, x), (_, y) = now[:2]
+        now = [*now[2:], (made, sorted((a + b for a, b in zip(x, reversed(y), strict=True)), reverse=True))]
+        made += 1
+    return now[0][1]
+
+
 def test_differencing():
     got, sums = sharding.difference([[8], [7], [6], [5], [4]], 2)
     assert sorted(sums) == [14, 16]
     rng = random.Random(3)
-    for k in (1, 2, 3, 5):
+    for k in (1, 2, 3, 5, 8):
         sizes = [rng.randrange(1, 1000) for _ in range(80)]
         got, sums = sharding.difference([[x] for x in sizes], k)
         real = [0] * k
         for (s,), x in zip(got, sizes, strict=True):
             real[s] += x
-        assert real == sums
-        greedy = [0] * k
-        for x in sorted(sizes, reverse=True):
-            greedy[greedy.index(min(greedy))] += x
-        assert max(sums) - min(sums) <= max(greedy) - min(greedy)
+        assert real == sums == naive_difference(sizes, k)
+
+
+@pytest.mark.parametrize("shards", [257, 514, 1000])
+def test_sharding_gives_as_many_shards_as_asked(spark, shards):
+    rng = random.Random(shards)
+    docs = frame(spark, ["x" * rng.randrange(1, 100) for _ in range(6000)])
+    size = Counter()
+    for r in sharding.shard(spark, docs, F.col("doc_id"), shards=shards).collect():
+        size[r.shard_id] += r.bytes
+    assert sorted(size) == list(range(shards)) and max(size.values()) - min(size.values()) < 60
 
 
 @pytest.mark.parametrize(("most", "block"), [(256, 20_000), (4, 16)])
@@ -220,17 +238,53 @@ def test_resampling_rejects_toxic_documents(spark):
     assert sum(i in ids for i in unseen if i > 300) <= 0.1 * sum(i > 300 for i in unseen)
 
 
+def resampled(rows, known):
+    """The sample, by counting strings: buckets are told apart by nothing but their hashes."""
+    def buckets(t):
+        w = [m.group() for m in re.finditer(r"\w+|[^\w\s]+", t or "")]
+        h = [int(resample.words([x], fold=False, marks=True).hash[0]) for x in w]
+        one = [x >> 48 for x in h]
+        two = [int(resample.mix(np.array([(x * int(resample._G) + y) & (2**64 - 1)], np.uint64))[0]) >> 48 for x, y in zip(h, h[1:], strict=False)]
+        return one + two
+
+    of = {i: buckets(t) for i, t in rows}
+    quality = {}
+    for i, q, toxic in known:
+        quality[i] = min(quality.get(i, 1), 0 if toxic == 1 else q)
+    half = resampled.half
+    good = [i for i in of if quality.get(i, 0) > 0 and half[i] == 0]
+    raw, target = Counter(b for x in of.values() for b in x), Counter(b for i in good for b in of[i])
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: math.log((target[b] + 50) / (share * raw[b] + 50)) for b in raw}
+    weight = {i: sum(ratio[b] for b in x) for i, x in of.items()}
+    g, bad = (sorted(weight[i] for i in quality if i in weight and half[i] == 1 and (quality[i] > 0) == kind) for kind in (True, False))
+    values = sorted({*g, *bad})
+    cuts = [values[0], *((a + b) / 2 for a, b in zip(values, values[1:], strict=False))]
+    loss = [sum(20 / len(g) for x in g if x < c) - sum(1 / len(bad) for x in bad if x < c) for c in cuts]
+    cut = cuts[min(range(len(cuts)), key=lambda i: (round(loss[i], 12), i))]
+    k = sum(x >= cut for x in weight.values())
+    draw = {i: weight[i] + resample.gumbel([i], [t])[0] for i, t in rows}
+    return weight, set(sorted(draw, key=lambda i: -draw[i])[:k])
+
+
 def test_resampling_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     known = spark.read.parquet(f"{SF}/labels.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
+    resampled.half = {r[0]: r[1] for r in docs.select("doc_id", resample._half()).collect()}
+    weight, want = resampled(rows, [tuple(r) for r in known.select("doc_id", "quality", "toxic").collect()])
     got = {r.doc_id: r for r in resample.sample(spark, docs, known).collect()}
-    ratio = None
-    for i, t in rows[:20]:  # one by one as in a batch
-        if i in got:
-            ratio = got[i].draw - resample.gumbel([i], [t])[0]
-            assert ratio == pytest.approx(got[i].log_weight, abs=1e-9)
-    assert ratio is not None
+    assert got.keys() == want and 0 < len(want) < len(rows)
+    for i, r in got.items():
+        assert r.log_weight == pytest.approx(weight[i], abs=1e-6)
+
+
+def test_noise_is_of_the_whole_text():
+    a, b = "one " + "same " * 100, "two " + "same " * 100
+    x, y, z = resample.gumbel([7, 7, 7], [a, b, a])
+    assert x != y and x == z
+    draws = resample.gumbel(list(range(20_000)), ["t"] * 20_000)
+    assert abs(draws.mean() - 0.5772) < 0.03 and abs(draws.std() - math.pi / math.sqrt(6)) < 0.03
 
 
 def brute_spans(text, items, n=decontaminate.N_WORDS):
@@ -414,6 +468,51 @@ def test_near_duplicates(spark):
     assert left == {i for i in range(1, len(texts) + 1) if i not in got or got[i][1]}
 
 
+def test_superminhash_by_steps():
+    """Against the algorithm as published: element by element, step by step, with a permutation of its own."""
+    rng = np.random.default_rng(6)
+    h = rng.integers(1, 1 << 62, 40).astype(np.uint64)
+    sig = near_duplicates.superminhash(h, np.zeros(40, np.int64), 1)[0]
+    mix, g = near_duplicates.mix, int(near_duplicates._G)
+    best = [2**64 - 1] * near_duplicates.SLOTS
+    for e in h.tolist():
+        p = list(range(near_duplicates.SLOTS))
+        for j in range(near_duplicates.SLOTS):
+            x = mix(np.array([(e + g * (j + 1)) & (2**64 - 1)], np.uint64))
+            k = j + ((int(mix(x ^ near_duplicates._G)[0]) >> 32) * (near_duplicates.SLOTS - j) >> 32)
+            p[j], p[k] = p[k], p[j]
+            best[p[j]] = min(best[p[j]], j << 57 | int(x[0]) >> 7)
+    assert sig.tolist() == best
+
+
+def test_large_buckets_are_compared_in_pieces(spark, monkeypatch):
+    rng = random.Random(12)
+    base = prose(rng, 120, 3000).split()
+    texts = []
+    for _ in range(60):
+        w = base[:]
+        w[rng.randrange(120)] = f"new{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    docs = frame(spark, texts + [prose(rng, 50) for _ in range(5)])
+    want = sorted(near_duplicates.groups(spark, docs).collect())
+    monkeypatch.setattr(near_duplicates, "BUCKET", 7)
+    assert sorted(near_duplicates.groups(spark, docs).collect()) == want and len(want) == 60
+    members = spark.createDataFrame([(1, i, 50) for i in range(50)] + [(2, i, 3) for i in range(3)], "key long, doc_id long, n long")
+    pieces = defaultdict(set)
+    for r in near_duplicates.split(members, 7).collect():
+        pieces[r.key].add(r.doc_id)
+    met = {(i, j) for p in pieces.values() for i in p for j in p if i < j}
+    assert met == {(i, j) for i in range(50) for j in range(i + 1, 50)} and all(len(p) < 40 for p in pieces.values())
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(13)
+    a, b = f"a {prose(rng, 80)}", f"b {prose(rng, 80)}"
+    docs = spark.createDataFrame([(1, b, 9), (1, a, 9), (2, a, 9), (3, b, 9), (4, b, 9)], "doc_id long, text string, _nth int")
+    assert sorted((r.doc_id, r.group_id) for r in near_duplicates.groups(spark, docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 3)]
+    assert sorted((r.doc_id, r.text, r._nth) for r in near_duplicates.deduplicate(spark, docs).collect()) == [(1, a, 9), (3, b, 9)]
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(5)
     error = []

@@ -15,17 +15,21 @@ smallest hashed ids): target text comes from one half of them and the threshold
 from the other, whose texts the target model hasn't seen, as it hasn't most of the
 corpus. Raw counts, weights, k and the sample cover every document.
 
-Defined results: null and empty texts have weight 0 and take part; rows that agree
-in id and text draw the same noise, and ties at the k-th key all stay; without
+Defined results: null and empty texts have weight 0, noise of an empty text, and take
+part, as null ids do; very long texts are read whole; rows that agree in id and text draw
+the same noise, so repeated rows stay or go together, and ties at the k-th key all stay;
+of several labels of a document the least quality counts, and toxic in any row; without
 labelled good rows all documents stay; without labelled bad rows the threshold is
-the least weight of a good one; where one half lacks a kind, all labelled rows serve.
+the least weight of a good one; where one half lacks a kind, all labelled rows serve;
+an empty table gives an empty sample; other columns of whatever names stay as they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Scratch, map_array, put_array, sized
@@ -96,10 +100,9 @@ def log_weights(texts: list[str | None], ratio: np.ndarray) -> np.ndarray:
 
 
 def gumbel(ids: list[int | None], texts: list[str | None], seed: int = SEED) -> np.ndarray:
-    """Noise of each document, from its id and text."""
+    """Noise of each document, from its id and its whole text."""
     h = np.array([(0 if i is None else i + 1) & 0xFFFFFFFFFFFFFFFF for i in ids], np.uint64)
-    w = words([(t or "")[-64:] + f" {len(t or '')}" for t in texts])
-    s = np.add.reduceat(w.hash, w.first[:-1]) if len(texts) else h
+    s = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
     u = mix(mix(h + np.uint64(seed)) ^ s) >> np.uint64(11)
     return -np.log(-np.log((u.astype(np.float64) + 0.5) / 2.0**53))
 
@@ -149,8 +152,12 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 
 
 def _among(d: DataFrame, lo: float, hi: float, k: int) -> float:
-    w = Window.orderBy(F.col("x").desc())
-    return d.where((F.col("x") >= lo) & (F.col("x") <= hi)).select("x", F.row_number().over(w).alias("i")).where(F.col("i") == k).first()[0]
+    """In a range too narrow for 4096 cells, which holds 4096 different doubles at most."""
+    for r in sorted(d.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy("x").count().collect(), reverse=True):
+        if k <= r[1]:
+            return r[0]
+        k -= r[1]
+    return lo
 
 
 def _fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, s: Scratch) -> tuple[str, float, float] | None:

@@ -8,10 +8,14 @@ left, whose k sums are the shards.
 The groups are spread by hash over blocks that one task differences each; a block's
 result is a partial partition again, and blocks are combined by the same rule, FAN
 at a time, level by level. With more than MOST shards, groups are first split into
-that many times fewer parts, and each part again.
-
-Defined results: null texts count 0 bytes; the group of a null key is a group;
-repeated rows count each and stay together if their keys agree; ties go by group.
+parts and each part again; where the shards don't divide evenly, some parts have one
+less: they start with a shard's bytes that no group fills. Exactly ``shards`` numbers
+from 0 on are used (fewer, if there are fewer groups).
+
+Defined results: null and empty texts count 0 bytes; very long ones count whole, and
+their group may outweigh a shard; the group of a null key is a group; null ids keep
+their rows; repeated rows count each and stay together if their keys agree; ties go by
+group; an empty table gives no rows; only doc_id, text and the group's columns are read.
 """
 
 from __future__ import annotations
@@ -90,11 +94,18 @@ def _place(s: list[int], v: int) -> int:
     return lo
 
 
-def _local(k: int):
+def _local(k: int, less: int = 0, weight: int = 0):
     def run(table):
         t = table.sort_by([("bytes", "descending"), ("gid", "ascending")])
-        got, _ = difference([[b] for b in t.column("bytes").to_pylist()], k)
-        return pa.table([t.column("part"), t.column("block"), t.column("gid"), t.column("bytes"), pa.array([g[0] for g in got], pa.int32())], ["part", "block", "gid", "bytes", "label"])
+        part, block, gid, size = (t.column(c).to_pylist() for c in ("part", "block", "gid", "bytes"))
+        partial = [[b] for b in size]
+        if less and block[0] == 0:
+            partial.append([weight] * less)
+        got, _ = difference(partial, k)
+        label = [g[0] for g in got[: len(gid)]]
+        if len(got) > len(gid):  # what stands for the missing shards
+            part, block, gid, size, label = part + part[:1] * less, block + [0] * less, gid + [None] * less, size + [weight] * less, label + got[-1]
+        return pa.table([pa.array(part, pa.int64()), pa.array(block, pa.int64()), pa.array(gid, pa.int64()), pa.array(size, pa.int64()), pa.array(label, pa.int32())], ["part", "block", "gid", "bytes", "label"])
 
     return run
 
@@ -110,10 +121,13 @@ def _join(k: int):
     return run
 
 
-def _split(groups: DataFrame, k: int, blocks: int, s: Scratch, name: str) -> DataFrame:
-    """(part, gid, label): each part's groups in k shards."""
+def _split(groups: DataFrame, k: int, blocks: int, s: Scratch, name: str, less: int = 0, weight: int = 0) -> DataFrame:
+    """(part, gid, label): each part's groups in k shards. ``less`` of these get ``weight`` bytes less than the others: rows of a null gid name them."""
     keyed = groups.withColumn("block", F.pmod(F.xxhash64("gid"), F.lit(blocks)))
-    local = s.table(keyed.groupBy("part", "block").applyInArrow(_local(k), "part long, block long, gid long, bytes long, label int"), f"{name}-local")
+    if less:  # block 0 is there, if only as the least group's
+        first = keyed.agg(F.min("block")).first()[0]
+        keyed = keyed.withColumn("block", F.when(F.col("block") == first, 0).otherwise(F.col("block")).cast("long")) if first else keyed
+    local = s.table(keyed.groupBy("part", "block").applyInArrow(_local(k, less, weight), "part long, block long, gid long, bytes long, label int"), f"{name}-local")
     now = local.groupBy("part", "block", "label").agg(F.sum("bytes").alias("bytes"))
     at = local.select("part", "gid", "block", "label")
     level = 0
@@ -140,9 +154,18 @@ def shard(spark: SparkSession, docs: DataFrame, group: Column, shards: int | Non
     else:
         coarse = -(-k // MOST)
         fine = -(-k // coarse)
-        first = _split(groups, coarse, blocks(count), s, "coarse").select("gid", F.col("label").cast("long").alias("part"))
-        again = s.table(groups.drop("part").join(first, "gid").select("part", "gid", "bytes"), "parts")
-        at = _split(again, fine, blocks(count // coarse), s, "fine").select("gid", (F.col("part") * fine + F.col("label")).alias("shard_id"))
+        less = coarse * fine - k  # so many parts have one shard less, and so many fewer bytes
+        first = s.table(_split(groups, coarse, blocks(count), s, "coarse", less, total // k).select("gid", F.col("label").cast("long").alias("part")), "of")
+        lighter = {r[0] for r in first.where("gid IS NULL").select("part").collect()}  # coarse rows at most
+        offset = np.concatenate(([0], np.cumsum([fine - (p in lighter) for p in range(coarse)]))).tolist()
+        again = s.table(groups.drop("part").join(first.where("gid IS NOT NULL"), "gid").select("part", "gid", "bytes"), "parts")
+        at = None
+        for name, few in (("fine", False), ("fewer", True)):
+            mine = [p for p in range(coarse) if (p in lighter) == few]
+            if mine:
+                got = _split(again.where(F.col("part").isin(mine)), fine - few, blocks(count // coarse), s, name)
+                got = got.select("gid", (F.get(F.lit(offset), F.col("part").cast("int")) + F.col("label")).cast("long").alias("shard_id"))
+                at = got if at is None else at.unionByName(got)
     return rows.join(at, "gid").select("doc_id", F.col("gid").alias("group_id"), "shard_id", "bytes")
 
 

@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textloom-")
         sc.setCheckpointDir(base)
         atexit.register(shutil.rmtree, urlparse(base).path, True)
@@ -125,6 +127,24 @@ def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the frames has it."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def one_row(text: DataFrame, s: Scratch) -> DataFrame:
+    """One row for each doc_id of (doc_id, text), with the least of its texts; only rows of repeated ids are moved."""
+    ids = s.table(text.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    n = ids.count()
+    if n == 0:
+        return text
+    least = text.join(sized(ids, n), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return text.join(sized(ids, n), "doc_id", "left_anti").unionByName(s.table(least, "least"))
+
+
 def runs(batches, key: str):
     """Whole groups of consecutive equal ``key`` from sorted Arrow batches.
 
