@@ -390,7 +390,69 @@ def test_word_said_over_and_over(spark):
     assert len(passages.seeds(["again " * 3000])[0]) <= 3000 / passages.STEP + 1
 
 
-def naive_best_fit(sizes):
+def test_chains_against_all_predecessors():
+    """The best chain's score, by trying every predecessor of every segment."""
+    rng, k, gap = random.Random(22), passages.K, passages.MAX_GAP
+    for _ in range(200):
+        seg = []
+        for _ in range(rng.randrange(2, 14)):
+            a, b, n = rng.randrange(200), rng.randrange(200), rng.randrange(k, 30)
+            seg.append((a, a + n, b, b + n + rng.randrange(2), rng.randrange(k, n + 1)))
+        seg = sorted(set(seg), key=lambda x: (x[0], x[2]))
+        best = []
+        for i, (a0, _, b0, _, w) in enumerate(seg):
+            got = [0.0]
+            for j, (c0, c1, _, d1, _) in enumerate(seg):
+                if j < i and max(c1 - k + 1, c0 + 1) <= a0 <= c1 + gap and b0 - gap <= d1 <= b0 + k - 1:
+                    got.append(min(best[j], best[j] - passages.GAP_COST * (a0 - c1 + b0 - d1)))
+            best.append(w + max(got))
+        chains = passages.chain(np.array(seg))
+        assert sorted(i for c in chains for i in c) == list(range(len(seg)))
+        score = 0.0
+        for i, j in zip([None, *chains[0]], chains[0], strict=False):
+            d = 0 if i is None else passages.GAP_COST * (seg[j][0] - seg[i][1] + seg[j][2] - seg[i][3])
+            score = seg[j][4] + (0 if i is None else min(score, score - d))
+        assert score == pytest.approx(max(best))
+
+
+def test_gaps_against_recursion():
+    rng = random.Random(23)
+    for _ in range(50):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(12))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert passages._gap(np.array(a), np.array(b)) == t[-1][-1]
+
+
+@pytest.mark.parametrize(("changed", "kinds", "least"), [(0.05, "s", 0.97), (0.1, "s", 0.9), (0.1, "sid", 0.8), (0.15, "s", 0.75)])
+def test_recall_of_changed_passages(spark, changed, kinds, least):
+    """Passages of 80 words, each word changed with some chance, in unrelated surroundings."""
+    rng = random.Random(24)
+    rows = []
+    for i in range(120):
+        w = prose(rng, 80, 5000).split()
+        v = []
+        for x in w:
+            kind = rng.choice(kinds) if rng.random() < changed else ""
+            v += {"": [x], "s": [f"n{rng.randrange(5000)}"], "i": [f"n{rng.randrange(5000)}", x], "d": []}[kind]
+        rows += [(i, f"{prose(rng, 40, 5000)} {' '.join(w)} {prose(rng, 40, 5000)}"), (1000 + i, f"{prose(rng, 60, 5000)} {' '.join(v)} {prose(rng, 60, 5000)}")]
+    got = {(r.first_doc_id, r.doc_id) for r in passages.repeated(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(i, 1000 + i) for i in range(120)}
+    assert len(got) >= least * 120, len(got)
+
+
+def test_spans_of_a_hot_document(spark, monkeypatch):
+    rng = random.Random(25)
+    shared = prose(rng, 70, 5000)
+    docs = frame(spark, [f"{prose(rng, 30, 5000)} {shared} {prose(rng, 30, 5000)}" for _ in range(40)])
+    want = sorted(passages.repeated(spark, docs).collect())
+    monkeypatch.setattr(passages, "SPANS", 5)
+    assert sorted(passages.repeated(spark, docs).collect()) == want and len(want) >= 39
+
+
+def naive_best_fit(sizes, rule="norm"):
     caps = (packing.WINDOW, packing.DOCS, packing.ATTENTION)
     demand = [(n / caps[0], 1 / caps[1], n * n / caps[2]) for n in sizes]
     weight = [sum(d[i] for d in demand) / len(demand) for i in range(3)]
@@ -400,7 +462,7 @@ def naive_best_fit(sizes):
         for j, left in enumerate(bins):
             after = [x - y for x, y in zip(left, d, strict=True)]
             if min(after) >= -1e-9:
-                score = sum(w * x * x for w, x in zip(weight, after, strict=True))
+                score = sum(w * x * x for w, x in zip(weight, after, strict=True)) if rule == "norm" else -sum(w * x * y for w, x, y in zip(weight, d, left, strict=True))
                 if best is None or score < best[0] - 1e-12:
                     best = score, j, after
         if best is None:
@@ -412,10 +474,11 @@ def naive_best_fit(sizes):
     return out
 
 
-def test_best_fit():
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit(rule):
     rng = random.Random(8)
     sizes = sorted((rng.randrange(1, 2048) if rng.random() < 0.5 else rng.randrange(1, 60) for _ in range(600)), reverse=True)
-    assert packing.best_fit(np.array(sizes)).tolist() == naive_best_fit(sizes)
+    assert packing.best_fit(np.array(sizes), rule=rule).tolist() == naive_best_fit(sizes, rule)
 
 
 @pytest.mark.parametrize("rule", ["norm", "dot"])
