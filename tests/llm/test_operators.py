@@ -174,10 +174,11 @@ def test_surrogates(spark):
 def test_surrogates_are_distinct(spark, monkeypatch):
     """With room for few surrogates, collisions are drawn again until none is left."""
     true = surrogates.surrogate
-    monkeypatch.setattr(surrogates, "_SCRIPTS", {k: (parts[:3], {g: e[:1] for g, e in ends.items()}) for k, (parts, ends) in surrogates._SCRIPTS.items()})
+    few = {k: (parts[:3], {g: e[:1] for g, e in ends.items()}) for k, (parts, ends) in surrogates._SCRIPTS.items()}
+    monkeypatch.setattr(surrogates, "_SCRIPTS", few)
     names = [a + b + c for a in ("Bo", "Ka", "Li") for b in ("ra", "ne", "so") for c in ("n", "l", "m")]
     forms = sorted(n.lower() for n in names)
-    draws, attempt = [true("name-x", f) for f in forms], 0
+    draws, attempt = [true("name", f) for f in forms], 0
     assert len(set(draws)) < len(forms)  # they do collide
     monkeypatch.undo()
     out = [r.text for r in surrogates.pseudonymise(spark, frame(spark, [f"Dr. {n} spoke" for n in names] * 2)).orderBy("doc_id").collect()]
@@ -185,6 +186,57 @@ def test_surrogates_are_distinct(spark, monkeypatch):
     assert not {t.split()[1] for t in out} & set(names) and attempt == 0
 
 
+def test_surrogates_follow_a_person(spark):
+    texts = [
+        "Mr. Tom Ray met Dr. Tom Ray. Later Ray and Tom Ray left; TOM waved, tom-toms and Rayon stayed.",
+        "Г-жа Анна Иванова и Иванова. Miss Dupont-Martin, Mr. Sean O'Brien and O'Brien again.",
+        "Mrs. Kim Lee sang. Kim danced.",
+        "fe80::1ff:fe23:4567:890a and 2001:0db8:85a3:0000:0000:8a2e:0370:7334, call 020 7946 0958 or 01 23 45 67 89 at 12:30:45.",
+    ]
+    x = [r.text for r in surrogates.pseudonymise(spark, frame(spark, texts)).orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Dr\. (\w+) (\w+)\. Later (\w+) and (\w+) (\w+) left; (\w+) waved, tom-toms and Rayon stayed\.", x[0])
+    assert m[1] == m[3] == m[6] and m[2] == m[4] == m[5] == m[7] and m[8] == m[1].upper() and m[1] != "Tom" and m[2] != "Ray"
+    m = re.fullmatch(r"Г-жа ([А-Я]\w+) ([А-Я]\w+) и (\w+)\. Miss ([A-Z]\w+)-([A-Z]\w+), Mr\. ([A-Z]\w+) O'([A-Z]\w+) and O'(\w+) again\.", x[1])
+    assert m[2] == m[3] and m[1][-1] in "ая" and m[2][-1] in "ая" and m[7] == m[8] and "Brien" not in x[1]
+    female = surrogates._SCRIPTS["latin"][1]["f"]
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) sang\. (\w+) danced\.", x[2])
+    assert m[1] == m[3] and m[1].endswith(tuple(female))
+    assert re.fullmatch(r"[0-9a-f]{4}::[0-9a-f]{3}:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4} and (?:[0-9a-f]{4}:){7}[0-9a-f]{4}, call 0\d\d \d{4} \d{4} or 0\d(?: \d\d){4} at 12:30:45\.", x[3])
+    assert "7946" not in x[3] and "8a2e" not in x[3]
+
+
+def test_surrogates_by_brute_force(spark):
+    """Over a whole table: outside the mentions texts are the same; surrogates are a one-to-one map of the real values, which none of them equals."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mails = [f"write to u{i}@h{i:04d}.com or u{i}@h{i:04d}.com. Dr. Nam{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} x" for i in range(2000)]
+    docs = docs.select("doc_id", "text").union(frame(spark, mails, 10**6).select("doc_id", "text"))
+    new = {r.doc_id: r.text for r in surrogates.pseudonymise(spark, docs).collect()}
+    to = defaultdict(lambda: defaultdict(set))
+    for r in docs.collect():
+        found, at, rest = surrogates.entities(r.text or ""), 0, new[r.doc_id] or ""
+        for (a, b, kind, form, _), stop in zip(found, [*(f[0] for f in found[1:]), len(r.text or "")], strict=False):
+            assert rest.startswith(r.text[at:a])
+            rest = rest[a - at :]
+            tail = r.text[b:stop]
+            k = rest.index(tail) if tail else len(rest)
+            to[kind][form].add(rest[:k].lower() if kind in ("email", "name") else re.sub(r"[^\w+]", "", rest[:k]) if kind in ("phone", "card", "ssn", "iban") else rest[:k])
+            rest, at = rest[k:], b
+        assert rest == (r.text or "")[at:]
+    assert len(to["email"]) >= 2000 and {"email", "name", "phone"} <= set(to)
+    for kind, forms in to.items():
+        if kind in ("phone", "secret"):  # formats of one number differ in their country code
+            continue
+        drawn = [next(iter(x)) for x in forms.values()]
+        assert all(len(x) == 1 for x in forms.values()), kind
+        assert len(set(drawn)) == len(drawn) and not set(drawn) & set(forms), kind
+    assert len({next(iter(x)).split("@")[1] for x in to["email"].values()}) == len({f.split("@")[1] for f in to["email"]})
+
+
+def test_redraws_have_an_end():
+    for kind, form in (("ssn", "123456789"), ("phone", "0123456"), ("ip", "1.2.3.4"), ("card", "4111111111111111"), ("domain", "x.com"), ("email", "a@x.com"), ("name", "li"), ("secret", "abcdef0123456789"), ("iban", "DE89370400440532013000"), ("ip6", "::1")):
+        assert len({surrogates.surrogate(kind, form, i) for i in range(40)}) >= 25 and len(surrogates.surrogate(kind, form, 60)) > len(form)
+
+
 def test_licences(spark):
     texts = ["Released under the MIT License.", "released under, the mit -- LICENSE; all rights reserved. All Rights Reserved!", "the mit license", None, "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that", "Redistribution and use in source and binary forms x x x x x x x x x x are permitted provided that", "x " * 5000 + "licensed under CC BY-SA 4.0"]
     got = {(r.doc_id, r.licence): r.notices for r in licences.counted(licences.scan(spark, frame(spark, texts))).collect()}
