@@ -5,6 +5,7 @@ Java regexes are prefixed with (?dU): Unicode classes, and only \\n ends a line.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +42,47 @@ def stripped_lines(c: Column) -> Column:
     return sub(unix_lines(c), rf"^[{S}&&[^\n]]+|[{S}&&[^\n]]+$", "", "m")
 
 
+def folded(c: Column) -> Column:
+    """Lower case, as case-blind regexes see ASCII letters: four other signs count as i, s or k."""
+    return F.lower(F.translate(c, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def let(x: Column, f) -> Column:
+    """f(x) with x worked out once however often f uses it.
+
+    As an expression it holds x once, so that a filter on the result, which the optimiser moves below
+    projections by putting expressions in place of names, doesn't multiply it.
+    """
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def guarded(x: Column, cond, f) -> Column:
+    """f(x) where cond(x) holds: a cheap search spares most texts the rewrite."""
+    return let(x, lambda v: F.when(cond(v), f(v)).otherwise(v))
+
+
+def python_each(df, c: str, f):
+    """Column ``c`` by a Python function of one text. Null stays null.
+
+    Input and result are each referred to twice, which keeps the optimiser from merging the
+    Python call with the expressions of earlier and later steps.
+    """
+
+    def run(s: pd.Series, null: pd.Series) -> pd.Series:
+        return s.map(f, na_action="ignore")
+
+    df = df.withColumn(c, F.pandas_udf(run, "string")(F.col(c), F.isnull(c)))
+    return df.withColumn(c, F.when(F.length(c) == 0, F.lit("")).otherwise(F.col(c)))
+
+
+def any_in(c: Column, parts: list[str]) -> Column:
+    """Is one of the parts in the text?"""
+    out = F.contains(c, F.lit(parts[0]))
+    for p in parts[1:]:
+        out = out | F.contains(c, F.lit(p))
+    return out
+
+
 def column_keep(df, items: str, out: str, key, times: int = 1, exempt=None):
     """``items`` without the occurrences of a key after the first ``times``; ``exempt``: items that always stay.
 

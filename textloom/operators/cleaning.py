@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import S, column_keep, lines, matches, strip, stripped_lines, sub
+from ..functions.text import S, any_in, column_keep, folded, guarded, let, lines, matches, python_each, strip, stripped_lines, sub
 
 #: Bullet signs by code point.
 _BULLETS = "".join(chr(x) for x in [0x2022, 0xB7, 0x29BF, 0x29BE, 0x2043, 0x204C, 0x204D, 0x25E6, 0x25AA, 0x25AB, 0x25D8, 0x25D9, 0x27A2, 0x27A3, 0x27A4, 0x25CF, 0x25CB, 0x25FC, 0x25FB, 0x25BA, 0x25BB, 0x25B7, 0x25B9, 0x2794, 0x2192, 0x21D2, 0x27F9, 0x27FE, 0x27F6, 0x21DD, 0x21E2, 0x2937, 0x27FC, 0x27FF, 0x2933, 0x293B, 0x2914, 0x27F4])
@@ -98,9 +97,9 @@ def remove_footnotes(df: DataFrame, c: str) -> DataFrame:
 
 def clean_whitespace(df: DataFrame, c: str) -> DataFrame:
     """Tabs and runs of blanks to one blank, no blanks at line ends, one blank line at most."""
-    x = F.translate(F.col(c), "\t", " ")
-    for pattern, to in ((" {2,}", " "), (" +\n", "\n"), ("\r\n", "\n"), ("\n{3,}", "\n\n")):
-        x = F.regexp_replace(x, pattern, to)
+    x = F.replace(F.col(c), F.lit("\t"), F.lit(" "))
+    for sign, pattern, to in (("  ", " {2,}", " "), (" \n", " +\n", "\n"), ("\r\n", "\r\n", "\n"), ("\n\n\n", "\n{3,}", "\n\n")):
+        x = guarded(x, lambda v: F.contains(v, F.lit(sign)), lambda v: F.regexp_replace(v, pattern, to))  # noqa: B023
     return df.withColumn(c, strip(x))
 
 
@@ -120,20 +119,32 @@ def remove_duplicates(df: DataFrame, c: str) -> DataFrame:
     df = df.withColumn("_p", F.filter(F.transform(F.split(F.col(c), rf"(?dU)\n[{S}]*\n", -1), strip), lambda p: p != ""))
     df = column_keep(df, "_p", "_p", _key, 1, lambda p: F.length(_key(p)) <= PARAGRAPH_KEY)
 
-    def once(p):
-        rows = F.array_sort(F.transform(F.split(p, rf"(?dU)(?<=[.!?])[{S}]+", -1), lambda x, i: F.struct(_key(strip(x)).alias("k"), i.alias("i"), x.alias("x"))))
-        first = F.aggregate(rows, F.struct(F.lit(None).cast("string").alias("k"), F.array().cast("array<struct<i:int,x:string>>").alias("r")), lambda a, r: F.struct(r["k"].alias("k"), F.when(a["k"] == r["k"], a["r"]).otherwise(F.array_append(a["r"], F.struct(r["i"].alias("i"), r["x"].alias("x")))).alias("r")))
-        return strip(F.array_join(F.transform(F.array_sort(first["r"]), lambda r: r["x"]), " "))
+    # sentences of all paragraphs in one array, so that one sort by (paragraph, key, place) shows the repeated ones
+    split = lambda p, j: F.transform(F.split(p, rf"(?dU)(?<=[.!?])[{S}]+", -1), lambda x, i: F.struct(j.alias("j"), _key(strip(x)).alias("k"), i.alias("i"), x.alias("x")))
 
-    return df.withColumn(c, F.array_join(F.transform("_p", once), "\n\n")).drop("_p")
+    def once(rows):
+        new = lambda r, n: F.coalesce((F.get(rows, n - 1)["j"] != r["j"]) | (F.get(rows, n - 1)["k"] != r["k"]), F.lit(True))
+        return F.array_sort(F.transform(F.filter(rows, new), lambda r: F.struct(r["j"], r["i"], r["x"])))
+
+    def text(rows):
+        return F.array_join(F.transform(rows, lambda r, n: F.concat(F.when(n == 0, "").when(F.get(rows, n - 1)["j"] == r["j"], " ").otherwise("\n\n"), r["x"])), "")
+
+    return df.withColumn(c, let(let(F.array_sort(F.flatten(F.transform("_p", split))), once), text)).drop("_p")
+
+
+#: One of these, in lower case, is in every text that a boilerplate rule changes.
+_ANCHORS = ["all rights reserved", "confidentiality notice:", "this document", "this email", "disclaimer:", "if you are not", "if you have received", "sent from my ", "email:", "fax:", "phone:", "tel:", "copyright", "privacy policy", "please see", "please find"]
 
 
 def remove_boilerplate_text(df: DataFrame, c: str) -> DataFrame:
     """Cut ten kinds of legal and mail boilerplate, most of them to the line's end."""
-    x = F.col(c)
-    for pattern in BOILERPLATE:
-        x = sub(x, pattern, "", "i")
-    return df.withColumn(c, x)
+
+    def rules(x):
+        for pattern in BOILERPLATE:
+            x = sub(x, pattern, "", "i")
+        return x
+
+    return df.withColumn(c, guarded(F.col(c), lambda x: let(folded(x), lambda f: any_in(f, _ANCHORS)), rules))
 
 
 def merged_short(text: str) -> str:
@@ -153,30 +164,23 @@ def merged_short(text: str) -> str:
     return "\n".join([*out, held] if held else out)
 
 
-def _each(f):
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
-
-    return F.pandas_udf(run, "string")
-
-
 def nfc(text: str) -> str:
-    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    return text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 def merge_short_paragraphs(df: DataFrame, c: str) -> DataFrame:
     """Join a line under 80 characters that ends no sentence with the next one; never across a blank line."""
-    return _with(df, c, _each(merged_short))
+    return python_each(df, c, merged_short)
 
 
 def normalize_unicode(df: DataFrame, c: str) -> DataFrame:
     """NFC."""
-    return _with(df, c, _each(nfc))
+    return python_each(df, c, nfc)
 
 
 def merge_and_normalize(df: DataFrame, c: str) -> DataFrame:
     """Both of the above in one crossing to Python."""
-    return _with(df, c, _each(lambda t: nfc(merged_short(t))))
+    return python_each(df, c, lambda t: nfc(merged_short(t)))
 
 
 def strip_text(df: DataFrame, c: str) -> DataFrame:

@@ -7,56 +7,59 @@ import re
 import textwrap
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import DOMAINS, REDUNDANT, SIMPLER
-from ..functions.text import lines, strip, sub
+from ..functions.text import any_in, folded, guarded, let, lines, python_each, strip, sub
 
 
 def remove_redundant_phrases(df: DataFrame, c: str) -> DataFrame:
     """Fifteen wordy phrases, in order, inside words too."""
-    x = F.col(c)
-    for phrase, to in REDUNDANT.items():
-        x = sub(x, phrase, to, "i")
-    return df.withColumn(c, x)
+
+    def rules(x):
+        for phrase, to in REDUNDANT.items():
+            x = sub(x, phrase, to, "i")
+        return x
+
+    return df.withColumn(c, guarded(F.col(c), lambda x: let(folded(x), lambda f: any_in(f, list(REDUNDANT))), rules))
 
 
 def condense_repetitive_patterns(df: DataFrame, c: str) -> DataFrame:
     """Repeated words to the first, then drop lines equal to the last non-blank line."""
     w = r"[\p{L}\p{N}_]"  # combining marks aren't part of a word
-    df = df.withColumn(c, sub(F.col(c), rf"(?<!{w})({w}+)(?!{w})(?:\s+\1(?!{w}))+", "$1", "i"))
-    df = df.withColumn("_l", F.transform(lines(F.col(c)), lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"), x.alias("x"))))
-    df = df.withColumn("_f", F.filter("_l", lambda r: r["s"] != ""))
-    df = df.withColumn("_d", F.transform(F.filter("_f", lambda r, i: (i > 0) & (F.get(F.col("_f"), i - 1)["s"] == r["s"])), lambda r: r["i"]))
-    keep = F.when(F.size("_d") == 0, F.col("_l")).otherwise(F.filter("_l", lambda r: ~F.array_contains("_d", r["i"])))
-    return df.withColumn(c, F.array_join(F.transform(keep, lambda r: r["x"]), "\n")).drop("_l", "_f", "_d")
+    x = sub(F.col(c), rf"(?<!{w})({w}++)(?=\s)(?:\s+\1(?!{w}))+", "$1", "i")
+
+    def kept(rows):
+        full = lambda r: r["s"] != ""
+        new = lambda f: F.filter(f, lambda r, i: F.coalesce(F.get(f, i - 1)["s"] != r["s"], F.lit(True)))
+        return F.array_sort(F.concat(let(F.filter(rows, full), new), F.filter(rows, lambda r: ~full(r))))
+
+    rows = F.transform(lines(x), lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"), x.alias("x")))
+    return df.withColumn(c, F.array_join(F.transform(let(rows, kept), lambda r: r["x"]), "\n"))
 
 
 def remove_excessive_punctuation(df: DataFrame, c: str) -> DataFrame:
     """Runs of end marks to the last one, runs of dashes or underscores to one."""
-    x = F.regexp_replace(F.col(c), "[.!?]+([.!?])", "$1")
-    x = F.regexp_replace(x, "--+", "-")
-    return df.withColumn(c, F.regexp_replace(x, "__+", "_"))
+    x = F.regexp_replace(c, "[.!?]+([.!?])", "$1")
+    x = guarded(x, lambda v: F.contains(v, F.lit("--")), lambda v: F.regexp_replace(v, "--+", "-"))
+    return df.withColumn(c, guarded(x, lambda v: F.contains(v, F.lit("__")), lambda v: F.regexp_replace(v, "__+", "_")))
 
 
 def simplify_citations(df: DataFrame, c: str) -> DataFrame:
     """(Lee et al., 2019) and (Lee, 2019) to [Lee et al. 2019] and [Lee 2019]."""
-    x = sub(F.col(c), r"[(]([^,)]+?et al[.]?)?,?\s+(\d{4})[^)]*[)]", "[$1 $2]")
-    return df.withColumn(c, sub(x, r"[(]([a-zA-Z']+),?\s+(\d{4})[^)]*[)]", "[$1 $2]"))
 
+    def rules(x):
+        x = sub(x, r"[(]([^,)]+?et al[.]?)?,?\s+(\d{4})[^)]*[)]", "[$1 $2]")
+        return sub(x, r"[(]([a-zA-Z']+),?\s+(\d{4})[^)]*[)]", "[$1 $2]")
 
-def simplify_urls(df: DataFrame, c: str) -> DataFrame:
-    """URLs without scheme, www, query and fragment."""
-    return df.withColumn(c, sub(F.col(c), r"https?://(?:www[.])?([^\s/]+)([^#?\s]*)(?:[?]\S*)?(?:#\S*)?", "$1$2"))
+    return df.withColumn(c, guarded(F.col(c), lambda x: F.contains(x, F.lit("(")), rules))
 
 
-def _each(f):
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
-
-    return F.pandas_udf(run, "string")
+def simplify_urls(df: DataFrame, c: str) -> DataFrame:
+    """URLs without scheme, www, query and fragment."""
+    rule = lambda x: sub(x, r"https?://(?:www[.])?([^\s/]+)([^#?\s]*)(?:[?]\S*)?(?:#\S*)?", "$1$2")
+    return df.withColumn(c, guarded(F.col(c), lambda x: F.contains(x, F.lit("://")), rule))
 
 
 def wrapped(text: str, width: int) -> str:
@@ -67,15 +70,18 @@ def wrapped(text: str, width: int) -> str:
 
 def optimize_line_length(df: DataFrame, c: str, width: int) -> DataFrame:
     """Wrap lines but headings, list items and table rows."""
-    return df.withColumn(c, _each(lambda t: wrapped(t, width))(F.col(c)))
+    return python_each(df, c, lambda t: wrapped(t, width))
 
 
 def simplify_text(df: DataFrame, c: str) -> DataFrame:
     """Common phrases, units and titles by their short forms."""
-    x = F.col(c)
-    for short, phrases in SIMPLER.items():
-        x = sub(x, rf"\b(?:{'|'.join(phrases)})\b", short, "i")
-    return df.withColumn(c, x)
+
+    def rules(x, f):
+        for short, phrases in SIMPLER.items():  # no short form makes a later phrase, so the first text tells which rules apply
+            x = guarded(x, lambda v: any_in(f, phrases), lambda v: sub(v, rf"\b(?:{'|'.join(phrases)})\b", short, "i"))  # noqa: B023
+        return x
+
+    return df.withColumn(c, let(F.col(c), lambda x: let(folded(x), lambda f: rules(x, f))))
 
 
 class DomainTerms:
@@ -124,7 +130,7 @@ class DomainTerms:
         return lambda t: find.sub(one, t)
 
     def apply(self, df: DataFrame, c: str) -> DataFrame:
-        return df.withColumn(c, _each(self.function())(F.col(c)))
+        return python_each(df, c, self.function())
 
 
 def base_forms(word: str) -> list[str]:
@@ -165,7 +171,7 @@ class Vocabulary:
         return re.sub(r"\w+", one, text)
 
     def apply(self, df: DataFrame, c: str) -> DataFrame:
-        return df.withColumn(c, _each(self.simplify)(F.col(c)))
+        return python_each(df, c, self.simplify)
 
 
 def sanitize_markup(df: DataFrame, c: str) -> DataFrame:

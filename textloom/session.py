@@ -13,3 +13,15 @@ def local(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+#: Tables of fewer bytes are spread over all cores if their files are fewer: such files often hold one row group, which one task reads.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df):
+    """``df``, a table read from files, over as many partitions as there are cores if it is small and in few files; larger ones stay as they are split."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < SPREAD_BYTES and len(df.inputFiles()) < cores else df
