@@ -149,6 +149,21 @@ def test_top_k(spark):
     want = {(i, r + 1, j) for i in range(300) for r, j in enumerate(sorted((j for j in range(300) if j != i), key=lambda j: (-s[i, j], j))[:7])}
     assert {(r.vec_id, r["rank"], r.neighbour_id) for r in got} == want and len(got) == len(want)
     assert topk.top_k(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    other = spark.createDataFrame([(1, [1.0], 5, 6, "a"), (2, [2.0], 5, 6, "b"), (2, [9.0], 5, 6, "b"), (3, [], 5, 6, "c")], "vec_id long, embedding array<double>, cell long, shard long, x string")
+    assert sorted(map(tuple, topk.top_k(spark, other).collect())) == [(1, 1, 2, 2.0), (2, 1, 1, 2.0)]
+
+
+def test_top_k_of_clusters_and_copies(spark):
+    """Shards far apart are left out, copies beyond a shard are spread, and the answers are those of all pairs."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(100, 5)) + 30 * rng.normal(size=5) for _ in range(5)] + [np.ones((150, 5))])
+    got = topk.top_k(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), k=5, shard_size=64).collect()
+    s = np.round(x @ x.T, 6)
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, r + 1, int(j)) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), -s[i]))[:5])}
+    assert {(r.vec_id, r["rank"], r.neighbour_id) for r in got} == want
+    cells = topk.Cells.fit(x, 8)
+    assert len(set(cells.of(x).tolist())) > 4 and len(set(cells.of(x[500:]).tolist())) == 1
 
 
 def test_surrogates(spark):

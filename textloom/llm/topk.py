@@ -1,18 +1,23 @@
 """Exact top-k by inner product: ball-tree branch and bound in shards.
 
-Vectors are spread by their ids' hash over shards of about SHARD vectors; each
-shard's task builds a ball tree and writes its arrays to the shared folder. Every
-vector is a query. A task takes blocks of queries that lie together in one shard's
-tree and visits the shards one by one, its own first: from the root, nodes are taken
-from a heap by their upper bound q.c + |q| r, a node's children only with those of
-the block's queries whose bound still reaches their k-th score; that score goes on
-to the next node and the next shard.
+Vectors that lie together share a shard: a tree of half-spaces, fitted to at most
+FIT_ROWS vectors (those of the smallest hashed ids), sends each to a cell, and a cell of
+more than SHARD vectors is spread by id over several shards, so that copies of one
+vector, however many, don't meet in one. Each shard's task builds a ball tree and writes
+its arrays to the shared folder. Every vector is a query. A task takes blocks of queries
+that lie together in one shard's tree and visits the shards by the upper bound of their
+roots, its own first, but for those whose bound reaches no query's k-th score: from the
+root, nodes are taken from a heap by their upper bound q.c + |q| r, a node's children
+only with those of the block's queries whose bound still reaches their k-th score; that
+score goes on to the next node and the next shard. The fit changes the work, not the result.
 
 Scores are worked out in doubles and rounded to 6 digits; ties go to the smaller id.
-Defined results: rows whose id or vector is null, whose vector holds a null, NaN or
-infinite number, or another number of dimensions than the first valid row by id, are
-neither queries nor answers; a vector isn't its own answer; repeated ids are one
-vector (the least); with fewer than k others, all of them are answers.
+Defined results: rows whose id or vector is null, whose vector is empty or holds a null,
+NaN or infinite number, or has another number of dimensions than the first valid row by
+id, are neither queries nor answers; a vector isn't its own answer; rows that repeat an id
+are one vector (the least); equal vectors of different ids are answers of each other;
+with fewer than k others, all of them are answers; an empty table gives no rows; only
+vec_id and embedding are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -24,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, map_array, put_array
+from .shared import Scratch, map_array, put_array, sized
 
 SHARD, LEAF, BLOCK = 8192, 128, 512
+#: Most vectors to which cells are fitted.
+FIT_ROWS = 50_000
 
 
 def ball_tree(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, ...]:
@@ -52,6 +59,48 @@ def ball_tree(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, ...]:
     return order, centre, radius * (1 + 1e-9) + 1e-12, n[:, 0], n[:, 1], n[:, 2]
 
 
+class Cells:
+    """A tree of half-spaces; each of its leaves is a cell."""
+
+    def __init__(self, direction: np.ndarray, cut: np.ndarray, child: np.ndarray):
+        self.direction, self.cut, self.child = direction, cut, child
+
+    @classmethod
+    def fit(cls, x: np.ndarray, cells: int) -> Cells:
+        direction, cut, child = [], [], []
+        todo, leaves = [(np.arange(len(x)), -1, 0)], 1
+        while todo and leaves < cells:
+            at, parent, side = todo.pop(0)
+            p = x[at]
+            a = p[((p - p.mean(0)) ** 2).sum(1).argmax()]
+            b = p[((p - a) ** 2).sum(1).argmax()]
+            y = p @ (b - a)
+            t = float(np.median(y))
+            low = y <= t
+            if low.all():
+                continue  # copies of one vector, or nearly so
+            if parent >= 0:
+                child[parent][side] = len(cut)
+            todo += [(at[low], len(cut), 0), (at[~low], len(cut), 1)]
+            direction.append(b - a)
+            cut.append(t)
+            child.append([-1, -1])
+            leaves += 1
+        return cls(np.array(direction).reshape(-1, x.shape[1]), np.array(cut), np.array(child, np.int64).reshape(-1, 2))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """A number for each vector's cell."""
+        node, cell = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        live = np.arange(len(x)) if len(self.cut) else node[:0]
+        while len(live):
+            i = node[live]
+            side = ((x[live] * self.direction[i]).sum(1) > self.cut[i]).astype(np.int64)
+            cell[live] = 2 * i + side + 1
+            node[live] = self.child[i, side]
+            live = live[node[live] >= 0]
+        return cell
+
+
 class Shard:
     def __init__(self, where: str, k: int):
         get = lambda name: map_array(f"{where}/{k}-{name}.npy")
@@ -92,8 +141,8 @@ class Best:
         self.score[r], self.ids[r] = np.take_along_axis(s, at, 1), np.take_along_axis(i, at, 1)
 
 
-def search(q: np.ndarray, ids: np.ndarray, shard: Shard, best: Best) -> None:
-    """Branch and bound of a block of queries in one shard."""
+def search(q: np.ndarray, ids: np.ndarray, shard: Shard, best: Best, some: np.ndarray | None = None) -> None:
+    """Branch and bound of a block of queries (of the rows ``some``) in one shard."""
     norm = np.sqrt((q * q).sum(1))
 
     def bound(node: int, rows: np.ndarray) -> tuple[np.ndarray, float]:
@@ -102,7 +151,7 @@ def search(q: np.ndarray, ids: np.ndarray, shard: Shard, best: Best) -> None:
         live = b >= best.kth()[rows]
         return rows[live], float(b[live].max()) if live.any() else -np.inf
 
-    rows, b = bound(0, np.arange(len(q)))
+    rows, b = bound(0, np.arange(len(q)) if some is None else some)
     heap = [(-b, 0, rows)] if len(rows) else []
     while heap:
         _, node, rows = heapq.heappop(heap)
@@ -132,8 +181,27 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 10, shard_size: int
     n, size = v.agg(F.count("*"), F.min_by(F.size("x"), "vec_id")).first()
     if not n:
         return spark.createDataFrame([], "vec_id long, rank int, neighbour_id long, score double")
-    shards = -(-n // shard_size)
     where = s.uri
+    v = v.where(F.size("x") == size)
+    fit = np.array([r[0] for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("x").collect()])  # FIT_ROWS at most
+    cells = Cells.fit(fit, -(-n // shard_size))
+    for name in ("direction", "cut", "child"):
+        put_array(f"{where}/cells-{name}.npy", getattr(cells, name))
+
+    def assign(batches):
+        tree = Cells(*(map_array(f"{where}/cells-{name}.npy") for name in ("direction", "cut", "child")))
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.of(x))], ["vec_id", "x", "cell"])
+
+    celled = s.table(v.mapInArrow(assign, "vec_id long, x array<double>, cell long"), "cells")
+    sizes = celled.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()  # a row for each shard_size vectors or so
+    first, many = {}, 0
+    for cell, rows in sizes:
+        first[cell] = (many, -(-rows // shard_size))
+        many += first[cell][1]
+    plan = spark.createDataFrame([(c, a, m) for c, (a, m) in first.items()], "cell long, a long, m long")
 
     def build(key, table):
         no = key[0].as_py()
@@ -141,24 +209,37 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 10, shard_size: int
         x = np.array(table.column("x").combine_chunks().flatten().to_numpy()).reshape(len(ids), -1)
         order = np.argsort(ids)
         Shard.write(where, no, ids[order], x[order])
-        return pa.table([pa.array([no], pa.int64()), pa.array([len(ids)], pa.int64())], ["shard", "n"])
+        centre = x.mean(0)
+        return pa.table([pa.array([no], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([float(np.sqrt(((x - centre) ** 2).sum(1).max()) * (1 + 1e-9) + 1e-12)])], ["shard", "n", "centre", "radius"])
 
-    keyed = v.where(F.size("x") == size).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    built = s.table(keyed.groupBy("shard").applyInArrow(build, "shard long, n long"), "shards")
+    keyed = celled.join(sized(plan, len(sizes)), "cell").withColumn("shard", F.col("a") + F.pmod(F.xxhash64("vec_id"), F.col("m"))).select("vec_id", "x", "shard")
+    built = s.table(keyed.groupBy("shard").applyInArrow(build, "shard long, n long, centre array<double>, radius double"), "shards")
     blocks = built.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))).alias("lo"))
-    numbers = sorted(r[0] for r in built.select("shard").collect())  # one number a shard
+    roots = built.select("shard", "centre", "radius").orderBy("shard").collect()  # a row for each shard
+    for name, a in (("number", np.array([r[0] for r in roots])), ("centre", np.array([r[1] for r in roots])), ("radius", np.array([r[2] for r in roots]))):
+        put_array(f"{where}/roots-{name}.npy", a)
 
     def run(batches):
+        numbers, centre, radius = (map_array(f"{where}/roots-{name}.npy") for name in ("number", "centre", "radius"))
         trees: dict[int, Shard] = {}
+
+        def tree(i: int) -> Shard:
+            if i not in trees:
+                if len(trees) >= 4096:
+                    trees.clear()
+                trees[i] = Shard(where, i)
+            return trees[i]
+
         for batch in batches:
             for no, lo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i in numbers:
-                    if i not in trees:
-                        trees[i] = Shard(where, i)
-                q, ids = np.asarray(trees[no].x[lo : lo + BLOCK]), np.asarray(trees[no].ids[lo : lo + BLOCK])
+                q, ids = np.asarray(tree(no).x[lo : lo + BLOCK]), np.asarray(tree(no).ids[lo : lo + BLOCK])
                 best = Best(len(q), k)
-                for i in [no, *(i for i in numbers if i != no)]:
-                    search(q, ids, trees[i], best)
+                search(q, ids, tree(no), best)
+                bound = q @ centre.T + np.sqrt((q * q).sum(1))[:, None] * radius
+                bound += 1e-9 * np.abs(bound) + 1e-6  # rounding never hides a tie
+                for i in np.argsort(-bound.max(0), kind="stable").tolist():
+                    if numbers[i] != no and (rows := np.flatnonzero(bound[:, i] >= best.kth())).size:
+                        search(q, ids, tree(int(numbers[i])), best, rows)
                 real = best.score > -np.inf
                 r, c = np.nonzero(real)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array((c + 1).astype(np.int32)), pa.array(best.ids[r, c]), pa.array(best.score[r, c])], ["vec_id", "rank", "neighbour_id", "score"])
