@@ -10,10 +10,13 @@ The index's alphabet is the benchmark's vocabulary. A word outside it can be par
 of no phrase, so it separates segments, as a document's end does; a segment of
 fewer than ``n`` words holds no phrase. Both reductions are exact.
 
-Defined results: null and empty texts hold nothing and stay as they are; items
-with fewer than ``n`` words give no phrase; a document that occurs twice is
-reported twice; with no benchmark, nothing is removed. Of a document that is all
-benchmark text nothing stays, and ``remove`` drops it.
+Defined results: null and empty texts hold nothing and stay as they are; very long
+texts are searched whole; null items and items with fewer than ``n`` words give no
+phrase, and repeated items are one; a null item_id is reported as -1; of phrases at the
+same place all items are reported; a document that occurs twice is reported twice; an
+empty table gives no rows, and with an empty benchmark nothing is removed. Of a document
+that is all benchmark text nothing stays, and ``remove`` drops it; its other columns and
+rows stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ from .textops import grams, pieces, words
 
 N_WORDS = 8
 #: Benchmark items per pass over the training data: bounds what a worker maps.
-ITEMS_PER_PASS = 2_000_000
+ITEMS_PER_PASS = 200_000
 SAMPLE = 16
 #: Bytes of text in a shard.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 4_000_000
 
 
 class Ranks:
@@ -178,7 +181,8 @@ _kept: dict[str, Phrases] = {}
 
 def _phrases(where: str, k: int) -> Phrases:
     if (key := f"{where}/{k}") not in _kept:
-        _kept.clear()
+        if any(not x.startswith(f"{where}/") for x in _kept) or len(_kept) >= 256:
+            _kept.clear()
         _kept[key] = Phrases(where, k)
     return _kept[key]
 
@@ -210,11 +214,14 @@ def find(texts: list[str | None], p: Phrases, n: int) -> list[tuple[list[tuple[i
     real[ends - 1] = False
     symbols[real] = v[places[real]] + 1
     index = FMIndex(symbols, len(p.vocabulary))
-    lo, hi = index.count(p.rows)
+    # a phrase whose last two words never stand together here needs no search
+    pair = lambda x, y: x.astype(np.int64) * (len(p.vocabulary) + 1) + y
+    some = np.flatnonzero(np.isin(pair(p.rows[:, -2], p.rows[:, -1]), pair(symbols[:-1], symbols[1:]))) if n > 1 else np.arange(len(p.rows))
+    lo, hi = index.count(p.rows[some])
     many = hi - lo
     if not many.any():
         return out
-    phrase = np.repeat(np.arange(len(many)), many)
+    phrase = some[np.repeat(np.arange(len(many)), many)]
     rows = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
     at = places[index.locate(rows)]
     d, s, e = doc[at], w.start[at], w.end[at + n - 1]
@@ -231,15 +238,23 @@ def find(texts: list[str | None], p: Phrases, n: int) -> list[tuple[list[tuple[i
 
 
 def _prepare(spark: SparkSession, benchmark: DataFrame, n: int) -> tuple[str, int]:
-    where = Scratch(spark, "decontaminate").uri
-    k, part = 0, []
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        part.append((r[0], r[1]))
-        if len(part) == ITEMS_PER_PASS:
-            Phrases.write(where, k, part, n)
-            k, part = k + 1, []
-    Phrases.write(where, k, part, n)
-    return where, k + 1
+    """Phrases of the benchmark, written by executors in passes of about ITEMS_PER_PASS items."""
+    s = Scratch(spark, "decontaminate")
+    where = s.uri
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    passes = -(-items.count() // ITEMS_PER_PASS)
+
+    def build(key, table):
+        Phrases.write(where, key[0].as_py(), list(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True)), n)
+        return pa.table([pa.array([key[0].as_py()], pa.int64())], ["pass"])
+
+    if passes == 0:
+        return where, 0
+    keyed = items.withColumn("_pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
+    built = s.table(keyed.groupBy("_pass").applyInArrow(build, "pass long"), "passes").collect()  # a row for each pass
+    for k in sorted({*range(passes)} - {r[0] for r in built}):  # no item's hash falls here
+        Phrases.write(where, k, [], n)
+    return where, passes
 
 
 def _shards(batch: pa.RecordBatch, column: str):
@@ -319,3 +334,22 @@ def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int =
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)
+
+
+#: DuckDB SQL for ``contamination``: runs of words joined on their texts; overlapping spans merged by islands.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, text, regexp_extract_all(text, '[\pL\pN_]+') AS w, regexp_split_to_array(text, '[\pL\pN_]+') AS gap FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, row, i, lower(w[i]) AS word, sum(length(gap[i]) + CASE WHEN i > 1 THEN length(w[i - 1]) ELSE 0 END) OVER (PARTITION BY row ORDER BY i) AS a, length(w[i]) AS n
+      FROM (SELECT doc_id, row, w, gap, unnest(range(1, len(w) + 1)) AS i FROM t)),
+g AS (SELECT doc_id, row, a, string_agg(word, ' ') OVER x AS phrase, last_value(a + n) OVER x AS b, count(*) OVER x AS many FROM p WINDOW x AS (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+bw AS (SELECT item_id, row_number() OVER () AS row, regexp_extract_all(lower(text), '[\pL\pN_]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bench AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS phrase FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM bw)),
+hit AS (SELECT doc_id, row, a, b, item_id FROM g JOIN bench USING (phrase) WHERE many = 8),
+items AS (SELECT row, list_sort(list(DISTINCT item_id)) AS item_ids FROM hit GROUP BY row),
+m AS (SELECT DISTINCT doc_id, row, a, b FROM hit),
+s AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY row ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM m),
+k AS (SELECT *, sum(new) OVER (PARTITION BY row ORDER BY a, b) AS span FROM s),
+e AS (SELECT doc_id, row, span, min(a) AS a, max(b) AS b FROM k GROUP BY doc_id, row, span)
+SELECT doc_id, list({'start': CAST(a AS INTEGER), 'stop': CAST(b AS INTEGER)} ORDER BY a) AS spans, any_value(item_ids) AS item_ids, CAST(sum(b - a) AS INTEGER) AS removed_chars
+FROM e JOIN items USING (row) GROUP BY doc_id, row
+"""

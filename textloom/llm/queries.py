@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 from . import decontaminate, language_model, licences, near_duplicates, packing, passages, resample, sharding, surrogates, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +53,4 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_model, op2_sharding, op3_top_k, op4_pii, op5_licences, op6_resample, op7_decontaminate, op8_passages, op9_packing, op10_near_duplicates)}
-ORACLE_SQL = {"op3_top_k": topk.ORACLE, "op5_licences": licences.oracle()}
+ORACLE_SQL = {"op3_top_k": topk.ORACLE, "op5_licences": licences.oracle(), "op7_decontaminate": decontaminate.ORACLE}
