@@ -270,6 +270,28 @@ def test_licences(spark):
     assert texts[0][spans.start : spans.stop] == "Released under the MIT License"
 
 
+def test_licences_in_notices_of_their_own_wording(spark):
+    """Notices as files carry them, not as the list spells them."""
+    texts = {
+        "MIT": 'Copyright (c) 2020 X\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction.',
+        "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted",
+        "GPL-2.0": "either version 2 of the License, or (at your option) any later version.",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file)",
+        "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0",
+        "GPL-3.0-or-later": "// SPDX-License-Identifier: GPL-3.0-or-later",
+        "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,",
+    }
+    rows = licences.scan(spark, frame(spark, list(texts.values()))).collect()
+    got = defaultdict(dict)
+    for r in rows:
+        got[r.doc_id][r.licence] = r.coverage
+    for i, name in enumerate(texts, 1):
+        assert name in got[i], (name, dict(got[i]))
+    assert "BSD" in got[2] and got[2]["BSD-3-Clause"] > 0.95 and got[1]["MIT"] < 0.9 and len({n for n, _ in licences.TEMPLATES}) >= 40
+
+
 def test_kth_largest(spark):
     rng = random.Random(2)
     x = [rng.choice([rng.gauss(0, 100), 1.5, 2e6]) for _ in range(500)]
@@ -705,3 +727,45 @@ def test_pipeline(spark):
         n = now
     want = {(r.doc_id, r.piece, r.n_tokens) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
     assert {(r.doc_id, r.piece, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Tables beside awkward documents: labels and a benchmark with nulls and repeats, and empty ones."""
+    for name, rows in (("odd", True), ("none", False)):
+        d = tmp_path_factory.mktemp(name)
+        labels(spark, [(1, 1, 0), (1, 0, None), (None, 0, 0), (5, 0, 1), (6, 1, None), (9, None, 0)] * rows).write.parquet(f"{d}/labels.parquet")
+        bench = [(1, "one two three four five six seven eight nine"), (1, "one two three four five six seven eight nine"), (None, "word " * 9), (2, None), (3, "")] * rows
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        yield_dirs.append(str(d))
+    return yield_dirs
+
+
+yield_dirs: list[str] = []
+
+
+@pytest.mark.parametrize("stage", range(5))
+@pytest.mark.parametrize("tables", [0, 1])
+def test_pipeline_stages_on_awkward_tables(spark, odd_tables, stage, tables):
+    name, f = corpus_pipeline.STAGES[stage]
+    rows = [(1, "a b c", "en"), (1, "a b c", "en"), (None, "Mr. Tom Ray", None), (2, None, None), (3, "", "x"), (4, "  \n ", "x"), (6, "é€𝒳 ß", "y"), (7, "...", "y"), (None, None, None)]
+    rng = random.Random(41)
+    long = " ".join(f"{rng.choice(['Mr. Tom Ray', 'write a@b.org', 'w1', 'w2'])} {rng.randrange(10**6)}" for _ in range(20_000)) + " one two three four five six seven eight nine"
+    rows += [(5, long, "x"), (8, long + " .", "x"), (9, "One two, three four five six seven eight nine!", "x")]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, _gone long, _nth int, _twice long, part string, shard int, x string, _pass int, cell int, key string, kind string, surrogate string, _bad boolean"
+    docs = spark.createDataFrame([(*r, "s", None if r[1] is None else len(r[1]), 1, 2, 3, "p", 4, "x", 5, 6, "k", "kind", "s", True) for r in rows], shape)
+    got = f(spark, docs, odd_tables[tables])
+    found = got.collect()
+    if stage < 4:
+        assert got.columns == docs.columns
+        assert all(r._nth == 2 and r.shard == 4 and r._bad and (r.n_chars is None if r.text is None else r.n_chars == len(r.text)) for r in found)
+    ids = Counter(r.doc_id for r in found)
+    if name == "near-duplicates":
+        assert ids[1] == 1 and ids[5] == 1 and ids[8] == 0 and ids[None] == 2
+    if name == "benchmark decontamination":
+        assert ids[9] == tables and sum(ids.values()) == 11 + tables and all(("seven eight" in r.text) == bool(tables) for r in found if r.doc_id == 5)
+    if name == "personal data":
+        assert sum(ids.values()) == 12 and not any("Tom" in (r.text or "") or "a@b.org" in (r.text or "") for r in found)
+    if name == "best-fit packing":
+        assert len({r.bin_id for r in found if r.doc_id == 5}) > 9 and ids[2] == ids[3] == ids[4] == 0
+    assert f(spark, docs.limit(0), odd_tables[tables]).collect() == []

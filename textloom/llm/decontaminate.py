@@ -237,9 +237,9 @@ def find(texts: list[str | None], p: Phrases, n: int) -> list[tuple[list[tuple[i
     return [(x, sorted(set(y))) for x, y in out]
 
 
-def _prepare(spark: SparkSession, benchmark: DataFrame, n: int) -> tuple[str, int]:
+def _prepare(spark: SparkSession, benchmark: DataFrame, n: int, scratch: Scratch | None = None) -> tuple[str, int]:
     """Phrases of the benchmark, written by executors in passes of about ITEMS_PER_PASS items."""
-    s = Scratch(spark, "decontaminate")
+    s = scratch or Scratch(spark, "decontaminate")
     where = s.uri
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     passes = -(-items.count() // ITEMS_PER_PASS)
@@ -303,9 +303,9 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
+def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with the spans cut out of ``text`` (and ``n_chars`` set anew, where there is one); a document left without a word is dropped. Other columns and rows stay."""
-    where, count = _prepare(spark, benchmark, n)
+    where, count = _prepare(spark, benchmark, n, scratch)
     schema, names = docs.schema, docs.columns
     t, c = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 

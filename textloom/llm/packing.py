@@ -13,9 +13,10 @@ each packed by one task: a shard wastes less than one window.
 Tokens are words and single signs, counted without a tokenizer; with ``tokenizer``
 (a path of a tokenizers file) its tokens count instead.
 
-Defined results: null and empty texts need no place and give no row; rows with a
-null id are packed and keep it; repeated rows are packed each; ties go by id, piece
-and the bin opened first.
+Defined results: null and empty texts need no place and give no row; very long ones
+are cut into pieces and packed whole; rows with a null id are packed and keep it;
+repeated rows are packed each; ties go by id, piece and the bin opened first; an empty
+table gives no bins; only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
