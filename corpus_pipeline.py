@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns a DataFrame; ``run`` writes each one's rows as Parquet and reads them again
-as the next one's docs. All stages but the last return the columns of documents.
+as the next one's docs. All stages but the last return the columns of documents,
+whatever other columns there are and whatever their names.
+
+Defined results: null texts and null ids pass the first four stages (each stage's own
+docstring says what it does with them) and null or empty texts are packed nowhere; very
+long texts are judged, compared, searched and rewritten whole, and packed in pieces;
+rows that repeat a doc_id become one row in the second stage; empty tables give no
+sequences; without labels no document is rejected, without a benchmark nothing is cut.
 
 By the time a stage runs, its predecessors' results are written, so their scratch
 folders are removed then.
@@ -28,28 +35,27 @@ def _scratch(spark: SparkSession, name: str) -> Scratch:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents in the importance resample."""
+    """Keep the documents in the importance resample. Null and empty texts weigh 0; equal rows stay or go together; without good labels all stay."""
     return resample.select(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _scratch(spark, "stage1"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
+    """Keep the least id of each group of near copies. Null ids and null or wordless texts are no copies; of rows that repeat an id the one of the least text stays."""
     return near_duplicates.deduplicate(spark, docs, scratch=_scratch(spark, "stage2"))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut benchmark passages out."""
-    _scratch(spark, "stage3")
-    return decontaminate.remove(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Cut benchmark passages out. Null and empty texts stay; a document left without a word goes; repeated rows are cut alike."""
+    return decontaminate.remove(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch=_scratch(spark, "stage3"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by surrogates."""
+    """Replace personal data by surrogates. All rows stay; null texts and texts without entities are as they were; equal texts stay equal."""
     return surrogates.pseudonymise(spark, docs, scratch=_scratch(spark, "stage4"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into training sequences."""
+    """Pack what is left into training sequences: (bin_id, slot, doc_id, piece, first_token, n_tokens). Null and empty texts have no row; ties go by id and piece."""
     return packing.pack(spark, docs, scratch=_scratch(spark, "stage5"))
 
 
