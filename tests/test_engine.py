@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from textloom import cli
 from textloom.operators import cleaning, metrics, validation, windows
 from textloom.plans import config as cfg
-from textloom.plans import parallel
+from textloom.operators.performance import Timings, throughput, tokens_by
+from textloom.plans import parallel, renderers, sinks
 from textloom.plans.pipeline import Pipeline, processed
 from textloom.streaming import stream
 
@@ -124,12 +125,23 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "a.txt").write_text("Some  text.\n")
+    (tmp_path / "in" / "sub" / "c.md").write_text("Other  words here.\n\n| a | b |\n|---|---|\n| 1 | 2 |\n")
     (tmp_path / "in" / "b.json").write_text("{}")
-    assert cli.main(["process", str(tmp_path / "in"), str(tmp_path / "out"), "--overwrite"]) == 1
-    assert "2 files, 1 processed, 1 failed" in capsys.readouterr().out
-    assert "Some text." in "".join(p.read_text() for p in (tmp_path / "out").glob("*.txt"))
+    into = str(tmp_path / "out")
+    assert cli.main(["process", str(tmp_path / "in"), into, "--report", str(tmp_path / "r"), "--performance-report", str(tmp_path / "p.json")]) == 1
+    assert "3 files, 2 processed, 1 failed" in capsys.readouterr().out
+    assert sorted(str(p.relative_to(into)) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a.md", "sub/c.md"]
+    assert (tmp_path / "out" / "a.md").read_text().startswith("## Some text.") and "File Size" in (tmp_path / "out" / "a.md").read_text()
+    assert "Other words here." in (tmp_path / "out" / "sub" / "c.md").read_text()
+    report = {r.path.rsplit("/", 1)[-1]: r for r in spark.read.csv(str(tmp_path / "r"), header=True, inferSchema=True).collect()}
+    assert report["a.txt"].success and report["a.txt"].output_path.endswith("out/a.md") and report["b.json"].error and '"process"' in (tmp_path / "p.json").read_text()
+    assert cli.main(["process", str(tmp_path / "in"), into]) == 2
+    assert cli.main(["process", str(tmp_path / "in" / "sub" / "c.md"), str(tmp_path / "one.csv")]) == 0
+    assert (tmp_path / "one.csv").read_text().startswith("Content\n## Other words here.")  # joined lines are no table any more
+    assert cli.main(["process", str(tmp_path / "in" / "a.txt"), str(tmp_path / "one"), "--format", "json"]) == 0
+    assert '"content":"## Some text."' in (tmp_path / "one" / "a.json").read_text()
     assert cli.main(["generate-config", str(tmp_path / "c.yaml"), "--option", "cleaning.remove_footnotes=true"]) == 0
     assert cfg.Config.load(str(tmp_path / "c.yaml")).get("cleaning.remove_footnotes") is True
     for command in ("list-presets", "list-formats", "version"):
@@ -140,3 +152,30 @@ def test_plan_has_one_crossing_and_no_shuffle(spark, sf):
     p = Pipeline.from_config().apply(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "text")
     plan = p._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_timings(spark, tmp_path):
+    t = Timings()
+
+    @t.timed()
+    def work():
+        return 5
+
+    assert work() == work() == 5
+    with pytest.raises(ValueError), t.operation("fails"):
+        raise ValueError
+    assert t.stats()["work"]["count"] == 2 and t.report()["total_operations"] == 3
+    rows = {r.operation: r for r in metrics.operation_stats(t.frame(spark), "operation", "seconds").collect()}
+    assert rows["work"].n == 2 and rows["fails"].n == 1
+    df = spark.createDataFrame([("a b c", 2.0), (None, 0.0)], "t string, s double").withColumn("n", tokens_by(lambda: str.split)(F.col("t")))
+    assert throughput(df, "n", "s").first() == (2, 3, 1.5)
+
+
+def test_registered_writer(spark, tmp_path):
+    renderers.register_writer("shout", ".loud", lambda content, metadata: F.upper(content))
+    ext, text, _ = renderers.file_text("Shout", F.col("t"), F.lit(None))
+    df = spark.createDataFrame([("/in/x/a.txt", "hi"), ("/in/b.txt", None)], "path string, t string").withColumn("text", text)
+    rows = {r.path: r for r in sinks.write_files(sinks.with_target(df, "/in", str(tmp_path), ext)).collect()}
+    assert (tmp_path / "x" / "a.txt.loud").read_text() == "HI" and rows["/in/x/a.txt"].written_bytes == 2 and rows["/in/b.txt"].written_bytes is None
+    with pytest.raises(TypeError):
+        renderers.register_writer("bad", "x", None)

@@ -71,7 +71,12 @@ def python_each(df, c: str, f):
     def run(s: pd.Series, null: pd.Series) -> pd.Series:
         return s.map(f, na_action="ignore")
 
-    df = df.withColumn(c, F.pandas_udf(run, "string")(F.col(c), F.isnull(c)))
+    return settled(df.withColumn(c, F.pandas_udf(run, "string")(F.col(c), F.isnull(c))), c)
+
+
+def settled(df, c: str):
+    """No change, but two references to ``c``: what follows isn't merged with what made it. Python functions of
+    expressions with nested lambdas aren't split off by the optimiser, and fail."""
     return df.withColumn(c, F.when(F.length(c) == 0, F.lit("")).otherwise(F.col(c)))
 
 

@@ -121,15 +121,11 @@ def remove_duplicates(df: DataFrame, c: str) -> DataFrame:
 
     # sentences of all paragraphs in one array, so that one sort by (paragraph, key, place) shows the repeated ones
     split = lambda p, j: F.transform(F.split(p, rf"(?dU)(?<=[.!?])[{S}]+", -1), lambda x, i: F.struct(j.alias("j"), _key(strip(x)).alias("k"), i.alias("i"), x.alias("x")))
-
-    def once(rows):
-        new = lambda r, n: F.coalesce((F.get(rows, n - 1)["j"] != r["j"]) | (F.get(rows, n - 1)["k"] != r["k"]), F.lit(True))
-        return F.array_sort(F.transform(F.filter(rows, new), lambda r: F.struct(r["j"], r["i"], r["x"])))
-
-    def text(rows):
-        return F.array_join(F.transform(rows, lambda r, n: F.concat(F.when(n == 0, "").when(F.get(rows, n - 1)["j"] == r["j"], " ").otherwise("\n\n"), r["x"])), "")
-
-    return df.withColumn(c, let(let(F.array_sort(F.flatten(F.transform("_p", split))), once), text)).drop("_p")
+    df = df.withColumn("_s", F.array_sort(F.flatten(F.transform("_p", split))))
+    new = lambda r, n: F.coalesce((F.get("_s", n - 1)["j"] != r["j"]) | (F.get("_s", n - 1)["k"] != r["k"]), F.lit(True))
+    df = df.withColumn("_s", F.array_sort(F.transform(F.filter("_s", new), lambda r: F.struct(r["j"], r["i"], r["x"]))))
+    join = lambda r, n: F.concat(F.when(n == 0, "").when(F.get("_s", n - 1)["j"] == r["j"], " ").otherwise("\n\n"), r["x"])
+    return df.withColumn(c, F.array_join(F.transform("_s", join), "")).drop("_p", "_s")
 
 
 #: One of these, in lower case, is in every text that a boilerplate rule changes.

@@ -75,13 +75,11 @@ def optimize_line_length(df: DataFrame, c: str, width: int) -> DataFrame:
 
 def simplify_text(df: DataFrame, c: str) -> DataFrame:
     """Common phrases, units and titles by their short forms."""
-
-    def rules(x, f):
-        for short, phrases in SIMPLER.items():  # no short form makes a later phrase, so the first text tells which rules apply
-            x = guarded(x, lambda v: any_in(f, phrases), lambda v: sub(v, rf"\b(?:{'|'.join(phrases)})\b", short, "i"))  # noqa: B023
-        return x
-
-    return df.withColumn(c, let(F.col(c), lambda x: let(folded(x), lambda f: rules(x, f))))
+    x = F.col(c)
+    for short, phrases in SIMPLER.items():
+        here = lambda v: let(folded(v), lambda f: any_in(f, phrases))  # noqa: B023, E731
+        x = guarded(x, here, lambda v: sub(v, rf"\b(?:{'|'.join(phrases)})\b", short, "i"))  # noqa: B023
+    return df.withColumn(c, x)
 
 
 class DomainTerms:

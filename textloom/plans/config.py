@@ -43,6 +43,13 @@ PRESETS = {
     "rag": (2048, "Chunks for retrieval"),
     "minimal": (16_384, "As few changes as can be"),
 }
+#: What a preset switches besides its limit.
+PRESET_STEPS = {
+    "claude": {"structure": {"preserve_lists": True}},
+    "llama": {"optimization": {"simplify_urls": True, "use_abbreviations": True}},
+    "rag": {"cleaning": {"remove_footnotes": True}},
+    "minimal": {"cleaning": {"remove_duplicates": False, "remove_headers_footers": False}, "optimization": {"enabled": False}},
+}
 LEVELS = {
     "minimal": {"structure": {"preserve_headings": False}, "optimization": {"enabled": False}},
     "standard": {},
@@ -114,7 +121,7 @@ class Config:
 def preset(name: str) -> Config:
     if name not in PRESETS:
         raise ValueError(f"unknown preset: {name}; there are {', '.join(sorted(PRESETS))}")
-    return Config({"general": {"preset": name, "token_limit": PRESETS[name][0]}})
+    return Config(merge({"general": {"preset": name, "token_limit": PRESETS[name][0]}}, PRESET_STEPS.get(name, {})))
 
 
 def create(kind: str = "standard", overrides: dict | None = None) -> Config:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from ..functions.text import settled
 from ..operators import cleaning, optimizing
 from ..operators.metrics import measured
 from ..operators.validation import result_error
@@ -58,7 +59,7 @@ class Pipeline:
                 name, step, i = "", cleaning.merge_and_normalize, i + 1
             df = step(df, c)
             i += 1
-        return df
+        return settled(df, c)
 
 
 def processed(df: DataFrame, column: str, pipeline: Pipeline | None = None) -> DataFrame:

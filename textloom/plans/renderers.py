@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,32 @@ def format_name(name: str) -> str:
     return n
 
 
+#: Writers by format: (DataFrame, text column, metadata column or none) -> Column of the file's text.
+WRITERS: dict[str, tuple[str, Callable]] = {}
+
+
+def register_writer(name: str, extension: str, render: Callable) -> None:
+    """Add an output format; ``render`` takes (content, metadata) columns and returns one."""
+    if not callable(render):
+        raise TypeError("a writer must be callable")
+    WRITERS[name.lower()] = extension.lstrip("."), render
+
+
+def file_text(fmt: str, content: Column, metadata: Column, block: Column | None = None, position: str = "end") -> tuple[str, Column, Callable[[str], str] | None]:
+    """Extension and text of a document's own output file, and what the sink's Python has still to do with it."""
+    if fmt.lower() in WRITERS:
+        ext, render = WRITERS[fmt.lower()]
+        return ext, render(content, metadata), None
+    fmt = format_name(fmt)
+    if fmt == "markdown":
+        text = F.when(content.isNotNull(), markdown(content, block, position)) if block is not None else content
+    elif fmt == "json":
+        text = F.when(content.isNotNull(), as_json(content, metadata))
+    else:
+        text = content
+    return FORMATS[fmt], text, {"plain_text": plain, "csv": csv_text}.get(fmt)
+
+
 def default_extension(c: Column) -> Column:
     """Extension of a format's files; txt if unknown."""
     out = F.lit("txt")

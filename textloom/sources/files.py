@@ -13,20 +13,29 @@ from pyspark.sql import functions as F
 
 from ..operators import html as html_ops
 from ..operators.metrics import size_columns
-from ..operators.validation import extension, file_error, file_name, stem
+from ..operators.validation import LIMIT, LIMITS, extension, file_error, file_name, stem
 from . import markdown, office
-from .registry import FileTypes
+from .registry import CONVERTERS, FileTypes
 
+#: No file is larger than the largest limit.
+MOST_BYTES = max(LIMIT, *LIMITS.values())
 METADATA = "file_name string, file_extension string, file_size_bytes bigint, file_size_kb double, file_size_mb double, modified_at timestamp, title string, author string, date string, description string, keywords string, subject string, creator string, last_modified_by string, frontmatter map<string,string>, headings array<struct<level:int,text:string>>, page_count int, paragraph_count int, section_count int, table_count int, sheet_count int, sheets map<string,struct<row_count:int,column_count:int>>, slide_count int, slides_with_notes array<int>, delimiter string, quotechar string, included_header boolean, truncated boolean, original_rows int, processed_rows int"
 
 
-def scan(spark: SparkSession, path: str, recursive: bool = True, extensions: list[str] | None = None) -> DataFrame:
-    """path, ext, name, stem, length, modified; contents are read only where they are used."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    # Spark lists empty files (the driver holds the list anyway) but never reads them
-    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in df.inputFiles()], "path string")
-    empty = listed.join(df.select("path"), "path", "left_anti")
-    df = df.unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+def glob_of(extensions: list[str]) -> str:
+    """A file name pattern of extensions in any case, which the listing itself applies."""
+    any_case = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    return "*{" + ",".join(any_case("." + e.lower().lstrip(".")) for e in extensions) + "}"
+
+
+def scan(spark: SparkSession, path: str, recursive: bool = True, extensions: list[str] | None = None, empty: bool = True) -> DataFrame:
+    """path, ext, name, stem, length, modified; contents are read only where they are used, and only of ``extensions``."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    df = (reader.option("pathGlobFilter", glob_of(extensions)) if extensions else reader).load(path)
+    if empty:  # Spark's own listing has empty files, but its readers skip them
+        listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in df.inputFiles()], "path string")
+        none = listed.join(df.select("path"), "path", "left_anti")
+        df = df.unionByName(none.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     df = df.withColumns({"ext": extension(F.col("path")), "name": file_name(F.col("path"))}).withColumn("stem", stem(F.col("path")))
     if extensions:
         df = df.where(F.col("ext").isin(["." + e.lower().lstrip(".") for e in extensions]))
@@ -91,8 +100,11 @@ def convert_bytes(data: bytes, ext: str, name: str, options: dict) -> tuple[str,
     return office.convert(data, ext, name, options.get("max_rows", office.MAX_ROWS) or office.MAX_ROWS, options.get("max_cols", office.MAX_COLS))
 
 
-def convert(files: DataFrame, options: dict | None = None, types: FileTypes | None = None) -> DataFrame:
-    """Adds content, metadata and error. Text and Markdown stay in the JVM; the other kinds cross to Python once."""
+def convert(files: DataFrame, options: dict | None = None, types: FileTypes | None = None, kinds: str = "jvm python none") -> DataFrame:
+    """Adds content, metadata and error. Text and Markdown stay in the JVM; the other kinds cross to Python once.
+
+    ``kinds``: where the caller knows that ``files`` hold only some of these, the others are left out of the plan.
+    """
     types, options = types or FileTypes(), options or {}
     own = {e: f for _, es, f in types.converters if f for e in es}
     fields = [f.split(" ", 1) for f in METADATA.split(", ")]
@@ -128,7 +140,10 @@ def convert(files: DataFrame, options: dict | None = None, types: FileTypes | No
     py = py.withColumn("_r", run("content", "ext", "name")).withColumns({"_text": F.col("_r.text"), "_error": F.col("_r.error"), "frontmatter": F.lit(None).cast("map<string,string>"), "headings": F.lit(None).cast("array<struct<level:int,text:string>>")} | {k: F.col(f"_r.{k}") for k in given})
     py = py.withColumn("content", F.col("_text")).drop("_r")
     lost = lost.withColumns({"_text": F.lit(None).cast("string"), "_error": F.lit("no converter for this type"), "content": F.lit(None).cast("string"), "frontmatter": F.lit(None).cast("map<string,string>"), "headings": F.lit(None).cast("array<struct<level:int,text:string>>")} | {k: F.lit(None).cast(t) for k, t in given.items()})
-    out = jvm.unionByName(py).unionByName(lost)
+    chosen = [d for k, d in (("jvm", jvm), ("python", py), ("none", lost)) if k in kinds.split()]
+    out = chosen[0]
+    for d in chosen[1:]:
+        out = out.unionByName(d)
     sizes = size_columns(F.col("length"))
     meta: dict[str, Column] = {"file_name": F.col("name"), "file_extension": F.col("ext"), "file_size_bytes": F.col("length"), "file_size_kb": sizes["file_size_kb"], "file_size_mb": sizes["file_size_mb"], "modified_at": F.col("modificationTime")}
     struct = F.struct(*[(meta[k] if k in meta else F.col(k)).alias(k) for k, _ in fields])
@@ -137,12 +152,29 @@ def convert(files: DataFrame, options: dict | None = None, types: FileTypes | No
 
 
 def load(spark: SparkSession, path: str, extensions: list[str] | None = None, recursive: bool = True, check: bool = True, strict: bool = False, options: dict | None = None) -> DataFrame:
-    """Scan, check and convert a folder. Files that fail a check aren't read."""
-    files = scan(spark, path, recursive, extensions)
-    if not check:
-        return convert(files, options)
+    """Scan, check and convert a folder or a file.
+
+    The listing picks each kind's files by name, and the reader those within the size limit, so
+    that a file is opened for one kind only and not at all where a check fails by its length.
+    """
+    listing = scan(spark, path, recursive, extensions)
+    wanted = {e for es in CONVERTERS.values() for e in es} & {"." + e.lower().lstrip(".") for e in extensions or [x for es in CONVERTERS.values() for x in es]}
     local = F.regexp_replace("path", "^file:/*", "/")
-    files = files.withColumn("_bad", file_error(local, F.col("length"), strict))
-    good = convert(files.where("_bad IS NULL").drop("_bad"), options)
-    bad = files.where("_bad IS NOT NULL").select("path", "ext", "stem", F.lit(None).cast("string").alias("content"), F.lit(None).cast(good.schema["metadata"].dataType).alias("metadata"), F.col("_bad").alias("error"))
-    return good.unionByName(bad)
+    bad = file_error(local, F.col("length"), strict) if check else F.lit(None).cast("string")
+    parts = []
+    for kind, exts in (("jvm", [*CONVERTERS["text"], *CONVERTERS["markdown"]]), ("python", [e for n in ("pdf", "office", "html", "csv") for e in CONVERTERS[n]])):
+        if mine := [e for e in exts if e in wanted]:
+            d = scan(spark, path, recursive, mine, empty=False)
+            d = d.where(F.col("length") <= MOST_BYTES).where(bad.isNull()) if check else d
+            parts.append(convert(d, options, kinds=kind))
+    plain = listing.drop("content").withColumns({"_bad": bad, "_kind": FileTypes().converter(F.col("ext"))})
+    why = F.coalesce("_bad", F.when(F.col("_kind").isNull(), F.lit("no converter for this type")), F.when(F.col("length") == 0, F.lit("empty conversion")))
+    meta = convert(listing.limit(0), options, kinds="none").schema["metadata"].dataType
+    sizes = size_columns(F.col("length"))
+    known = {"file_name": F.col("name"), "file_extension": F.col("ext"), "file_size_bytes": F.col("length"), "file_size_kb": sizes["file_size_kb"], "file_size_mb": sizes["file_size_mb"], "modified_at": F.col("modificationTime")}
+    about = F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in meta.fields])
+    rest = plain.withColumn("_why", why).where("_why IS NOT NULL").select("path", "ext", "stem", F.lit(None).cast("string").alias("content"), F.when(F.col("_bad").isNull(), about).alias("metadata"), F.col("_why").alias("error"))
+    out = rest
+    for d in parts:
+        out = out.unionByName(d)
+    return out
