@@ -8,11 +8,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textloom.llm import decontaminate, language_model, licences, near_duplicates, packing, passages, resample, sharding, surrogates, topk
+from textloom.llm.exchange import gathered
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -541,6 +543,95 @@ def test_spans_of_a_hot_document(spark, monkeypatch):
     assert sorted(passages.repeated(spark, docs).collect()) == want and len(want) >= 39
 
 
+def varied(rng, w, n):
+    """Words w with n of them changed, far from each other."""
+    w = list(w)
+    for i in rng.sample(range(1, len(w) // 10), n):
+        w[10 * i + rng.randrange(3)] = f"c{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("n", [12, 45])  # 45: more than passages.COLD
+def test_passages_of_every_pair(spark, n):
+    """Each two of many texts of one passage are linked, copies of a passage to their first, a short line links none."""
+    rng = random.Random(26)
+    base, line, same = prose(rng, 90, 5000).split(), prose(rng, 20, 5000), prose(rng, 70, 5000)
+    rows = [(i, f"{prose(rng, 30, 5000)} {varied(rng, base, 3)} {prose(rng, 80, 5000)} {line} {prose(rng, 80, 5000)}") for i in range(n)]
+    rows += [(1000 + i, f"{prose(rng, 80, 5000)} {line} {prose(rng, 80, 5000)} {same} {prose(rng, 30, 5000)}") for i in range(n)]
+    rows += [(2000 + i, rows[5][1]) for i in range(3)]
+    got = passages.repeated(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(r.first_doc_id, r.doc_id) for r in got}
+    want = {(i, j) for j in range(n) for i in range(j)} | {(5, 2000 + i) for i in range(3)}
+    assert {x for x in pairs if x[0] < 1000} == want
+    same = {x for x in pairs if x[0] >= 1000}
+    assert same >= {(1000, 1000 + i) for i in range(1, n)}
+    if n > passages.COLD:  # the seeds at the passage's ends that few documents chose still link some others
+        assert len(same) < n * (n - 1) // 4
+    whole = [r for r in got if r.doc_id >= 2000]
+    assert all(rows[5][1][r.start : r.stop] == rows[5][1] and r.words == r.matching == 290 - 20 + 30 for r in whole)
+
+
+def test_hot_links_against_all_pairs():
+    """Pairs of occurrences with equal words beyond the run that both share, and the first of each longer run's copies."""
+    rng, far = np.random.default_rng(27), passages.REACH
+
+    def brute(a, b):
+        r = next((k for k in range(far) if a[k] != b[k] or a[k] == 0), far)
+        runs = lambda v, m: {(k, tuple(v[k : k + m])) for k in range(r, far - m + 1) if 0 not in v[k : k + m]}
+        return r, bool(runs(a, 3) & runs(b, 3)) or bool({x for _, x in runs(a, 4)} & {x for _, x in runs(b, 4)})
+
+    for n, most in ((40, 3), (60, 40), (50, 9)):
+        near = np.repeat(rng.integers(1, 60000, (3, 2, far)), n // 3 + 1, 0)[rng.permutation(n)].astype(np.uint16)
+        for k in range(n):
+            for side in (0, 1):
+                at = rng.integers(0, far, rng.integers(0, most))
+                near[k, side, at] = rng.integers(1, 60000, len(at))
+                if rng.random() < 0.3:
+                    near[k, side, rng.integers(0, far) :] = 0
+                elif rng.random() < 0.3:
+                    cut = rng.integers(0, far)
+                    near[k, side, cut:] = rng.integers(1, 60000, far - cut)
+        group = np.sort(rng.integers(0, 2, n))
+        got = set(zip(*(x.tolist() for x in passages.hot_links(group, near)), strict=True))
+        must, may = set(), set()
+        runs = {}
+        for i in range(n):
+            for j in range(i + 1, n):
+                if group[i] == group[j]:
+                    (left, x), (right, y) = (brute(near[i, s].tolist(), near[j, s].tolist()) for s in (0, 1))
+                    if x or y:
+                        must.add((i, j))
+                    elif left + passages.K + right >= passages.MIN_WORDS:
+                        runs.setdefault((i, j), (left, right))
+        assert must <= got
+        for (i, j), (left, right) in runs.items():
+            alike = [k for k in range(j) if group[k] == group[i] and (near[k, 0, :left] == near[i, 0, :left]).all() and (near[k, 1, :right] == near[i, 1, :right]).all()]
+            assert alike[0] == i or (alike[0], i) in got
+            assert (alike[0], j) in got
+            may |= {(alike[0], i), (alike[0], j)}
+        short = {(i, j) for i, j in got - must if brute(near[i, 0].tolist(), near[j, 0].tolist())[0] + brute(near[i, 1].tolist(), near[j, 1].tolist())[0] + passages.K < passages.MIN_WORDS}
+        assert not short
+
+
+def test_hot_seeds_in_blocks(monkeypatch, tmp_path):
+    """Blocks of a very hot seed's documents give the links that one task gives."""
+    rng = random.Random(28)
+    base = prose(rng, 90, 5000).split()
+    texts = [f"{prose(rng, 30, 5000)} {varied(rng, base, 3)} {prose(rng, 30, 5000)}" for _ in range(60)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": texts})
+    where, kinds = str(tmp_path), (np.int64, np.int64, np.int32, np.int32)
+
+    def found():
+        list(passages._match(where, 1)(passages._seed(1)([docs])))
+        return Counter(x for _, got in gathered(passages._hot(1)(passages._around(where, 1)([docs])), kinds) for x in zip(*(v.tolist() for v in got), strict=True))
+
+    want = found()
+    assert want and max(want.values()) == 1
+    monkeypatch.setattr(passages, "BLOCK", 10)
+    monkeypatch.setattr(passages, "TOGETHER", 8)  # sets of pairs as sorted arrays
+    assert found() == want
+
+
 def naive_best_fit(sizes, rule="norm"):
     caps = (packing.WINDOW, packing.DOCS, packing.ATTENTION)
     demand = [(n / caps[0], 1 / caps[1], n * n / caps[2]) for n in sizes]
