@@ -413,6 +413,27 @@ def test_decontamination(spark):
     assert decontaminate.contamination(spark, docs, none).count() == 0
 
 
+def test_lookups_of_contexts_with_many_words(spark):
+    """Counts and sums of contexts of few and of many words; those of many are searched one by one, in mapped files as plain arrays."""
+    rng = np.random.default_rng(29)
+    texts = [" ".join(f"a b{rng.zipf(1.3) % 300} c{rng.zipf(1.5) % 9}" for _ in range(60)) for _ in range(40)]
+    m = language_model.Model(language_model.train(spark, frame(spark, texts), 2))
+    columns, _ = language_model.ngrams(texts[:20] + ["a b1 unseen a"], m.files, m.n_words, 2)
+    order = language_model.by_two(columns[0].astype(np.uint64), columns[1])
+    assert (order.size, 0) == (len(columns[0]), (np.stack(columns)[:, order] != np.stack(columns)[:, np.lexsort(columns[::-1])]).sum())
+    columns = list(np.unique(np.stack(columns, 1), axis=0).T)
+    every = Counter(zip(*(c.tolist() for c in language_model.ngrams(texts, m.files, m.n_words, 2)[0]), strict=True))
+    after = defaultdict(list)
+    for (u, _), k in every.items():
+        after[u].append(k)
+    assert max(map(len, after.values())) > 4 * language_model.FEW
+    count, sums = m._counts(columns)
+    for u, w, c, t in zip(*(x.tolist() for x in columns), count.tolist(), sums.tolist(), strict=True):
+        v = after[u]
+        assert (c, t) == (every[u, w], [sum(v), v.count(1), v.count(2), sum(k > 2 for k in v)])
+    assert all(type(a) is np.ndarray and type(a.base) is not np.memmap for arrays in m.files.open.values() if arrays for a in arrays if len(a))
+
+
 def test_passages(spark):
     rng = random.Random(7)
     shared = [prose(rng, 70, 5000) for _ in range(6)]

@@ -56,6 +56,15 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[e[:-1]], np.add.reduceat(counts[order].astype(np.int64), e[:-1]) if len(keys) else counts[:0].astype(np.int64)
 
 
+def by_two(keys: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """An order by keys, then by last (of 32 bits): two plain sorts, which are faster than stable ones where nothing is sorted yet."""
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.zeros(len(k), np.uint64)
+    new[1:] = k[1:] != k[:-1]
+    return order[np.argsort((np.cumsum(new) << _S32) | last[order])]
+
+
 # vocabulary
 
 
@@ -136,14 +145,14 @@ class Files:
             if len(self.open) >= self.MOST:
                 self.open.clear()
             try:
-                self.open[key] = unbundle(map_array(f"{self.where}/{name}-{part}.npy"))
+                self.open[key] = unbundle(map_array(f"{self.where}/{name}-{part}.npy").view(np.ndarray))  # a plain array over the map is indexed faster
             except FileNotFoundError:  # only after the count of parts is known to be complete: see Model
                 self.open[key] = None
         return self.open[key]
 
     def each(self, name: str, part: np.ndarray):
         """(arrays, index of the rows) for the parts of some rows."""
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part.astype(np.uint16) if len(part) and int(part.max()) < 1 << 16 else part, kind="stable")
         e = bounds(part[order])
         for i, j in zip(e[:-1].tolist(), e[1:].tolist(), strict=True):
             if got := self.get(name, int(part[order[i]])):
@@ -209,7 +218,7 @@ def aggregated(columns: list[np.ndarray], counts: np.ndarray | None) -> tuple[li
     if len(columns) == 2:
         order = np.argsort((key << _S32) | columns[1], kind="stable")
     else:
-        order = np.lexsort((columns[-1], key))
+        order = by_two(key, columns[-1]) if counts is None else np.lexsort((columns[-1], key))  # sorted blocks merge faster
     key, last = key[order], columns[-1][order]
     head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (last[1:] != last[:-1]))))
     c = np.diff(np.append(head, len(key))) if counts is None else np.add.reduceat(counts[order].astype(np.int64), head)
@@ -389,37 +398,47 @@ class Model:
         self.files = Files(where)
 
     def _counts(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of distinct n-grams; total and numbers of words seen once, twice and more of their contexts."""
+        """Counts of distinct n-grams, in order of their contexts' keys; total and numbers of words seen once, twice and more of their contexts."""
         key, last = context_key(columns[:-1]), columns[-1]
         count, sums = np.zeros(len(key), np.int64), np.zeros((len(key), 4), np.int64)
         for (keys, e, follow, c, big, more, hot, hot_sums), rows in self.files.each(f"level{len(columns)}", parts_of(columns, self.n, key)):
-            u, back = np.unique(key[rows], return_inverse=True)
+            mine = key[rows]
+            e_ = bounds(mine)  # distinct n-grams come in order of their contexts
+            u, back = mine[e_[:-1]], np.repeat(np.arange(len(e_) - 1), np.diff(e_))
             at = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
             known = keys[at] == u
             lo, hi = e[at].astype(np.int64), np.where(known, e[at + 1], e[at]).astype(np.int64)
-            # sums of the contexts: written for those of many words
+            # sums of the contexts: written for those of many words, else from their few counts
             mine = np.zeros((len(u), 4), np.int64)
             many = hi - lo > FEW
             if many.any():
                 mine[many] = hot_sums.reshape(-1, 4)[np.searchsorted(hot, at[many])]
             some = np.flatnonzero(~many & (hi > lo))
-            for i in range(FEW):
-                some = some[lo[some] + i < hi[some]]
-                if len(some) == 0:
-                    break
-                x = _wide(c, big, more, lo[some] + i)
-                mine[some, 0] += x
-                mine[some, np.minimum(x, 3)] += 1
+            if len(some):
+                size = hi[some] - lo[some]
+                head = np.cumsum(size) - size
+                x = _wide(c, big, more, np.arange(int(size.sum())) + np.repeat(lo[some] - head, size))
+                mine[some, 0] = np.add.reduceat(x, head)
+                for i in (1, 2):
+                    mine[some, i] = np.add.reduceat(x == i, head, dtype=np.int64)
+                mine[some, 3] = size - mine[some, 1] - mine[some, 2]
             sums[rows] = mine[back]
-            # the word among the context's: a binary search of all rows at once
-            a, b, w = lo[back], hi[back], last[rows]
-            end = b.copy()
-            while (open_ := a < b).any():
-                mid = (a + b) >> 1
-                less = open_ & (follow[np.minimum(mid, len(follow) - 1)] < w)
-                b = np.where(open_ & ~less, mid, b)
-                a = np.where(less, mid + 1, a)
-            hit = (a < end) & (follow[np.minimum(a, len(follow) - 1)] == w)
+            # the word among the context's: one search for each context of many words and rows, one binary search of all other rows at once
+            a, end, w = lo[back], hi[back], last[rows]
+            alone = (hi - lo > 4 * FEW) & (np.diff(e_) > 2)
+            for i, j, f, t in np.stack((e_[:-1], e_[1:], lo, hi), 1)[alone].tolist():
+                a[i:j] = f + np.searchsorted(follow[f:t], w[i:j])
+            left = np.flatnonzero((a < end) & ~alone[back])
+            x, y, v = a[left], end[left], w[left]
+            while len(left):
+                mid = (x + y) >> 1
+                less = follow[mid] < v
+                x, y = np.where(less, mid + 1, x), np.where(less, y, mid)
+                a[left] = x
+                on = x < y
+                left, x, y, v = left[on], x[on], y[on], v[on]
+            hit = np.flatnonzero(a < end)
+            hit = hit[follow[a[hit]] == w[hit]]
             found = np.zeros(len(rows), np.int64)
             found[hit] = _wide(c, big, more, a[hit])
             count[rows] = found
@@ -438,7 +457,7 @@ class Model:
                 before[rows] = np.where(w[at] == u[rows], c[at], 0)
             return ((np.maximum(before - self.d[0][np.minimum(before, 3)], 0) + self.rest * base) / self.total)[back]
         key, last = context_key(columns[:-1]), columns[-1]
-        order = np.lexsort((last, key))
+        order = by_two(key, last)
         k, w = key[order], last[order]
         new = np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])))[: len(k)]
         back = np.empty(len(order), np.int64)
@@ -448,7 +467,7 @@ class Model:
         c, t = self._counts(mine)
         d = self.d[len(columns) - 1]
         total = np.maximum(t[:, 0], 1)
-        return np.where(t[:, 0] > 0, (np.maximum(c - d[np.minimum(c, 3)], 0) + (t[:, 1:] @ d[1:]) * lower) / total, lower)[back]
+        return np.where(t[:, 0] > 0, (np.maximum(c - d[np.minimum(c, 3)], 0) + (t[:, 1] * d[1] + t[:, 2] * d[2] + t[:, 3] * d[3]) * lower) / total, lower)[back]
 
 
 def _wide(c: np.ndarray, big: np.ndarray, more: np.ndarray, at: np.ndarray) -> np.ndarray:
