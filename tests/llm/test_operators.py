@@ -592,6 +592,41 @@ def test_passages_of_every_pair(spark, n):
     assert all(rows[5][1][r.start : r.stop] == rows[5][1] and r.words == r.matching == 290 - 20 + 30 for r in whole)
 
 
+@pytest.mark.parametrize("n", [3, 12, 45])
+def test_classes_against_every_pair(spark, n):
+    """Stretches linked by any passage of ``repeated`` are of one class, others aren't; the query gives a row for each, not for each pair."""
+    from textloom.llm.queries import QUERIES
+
+    rng = random.Random(29)
+    base, line, parts = prose(rng, 90, 5000).split(), prose(rng, 20, 5000), [prose(rng, 60, 5000).split() for _ in range(2)]
+    rows = [(i, f"{prose(rng, 30, 5000)} {varied(rng, base, 3)} {prose(rng, 80, 5000)} {line} {prose(rng, 80, 5000)}") for i in range(n)]
+    # halves first seen apart, whole in others
+    rows += [(1000 + i, f"{prose(rng, 40, 5000)} {' '.join(w)} {line} {prose(rng, 40, 5000)}") for i, w in enumerate([*parts, *[parts[0] + parts[1]] * 3])]
+    rows += [(2000 + i, rows[1][1]) for i in range(3)] + [(3000 + i, f"{prose(rng, 60, 5000)} {line} {prose(rng, 60, 5000)}") for i in range(n)]
+    docs, text = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+    got, spans = passages.classes(spark, docs).collect(), defaultdict(list)
+    for r in got:
+        spans[r.doc_id].append((r.start, r.stop, r.class_id))
+        assert len(tokens(text[r.doc_id][r.start : r.stop])) == r.words >= 50
+        assert r.first_doc_id == int(r.class_id.split(":")[0]) <= r.doc_id
+    root, linked = {}, passages.repeated(spark, docs).collect()
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in linked:
+        ends = [[s for s in spans[d] if s[0] < stop and start < s[1]] for d, start, stop in ((r.doc_id, r.start, r.stop), (r.first_doc_id, r.first_start, r.first_stop))]
+        assert len(ends[0]) == len(ends[1]) == 1 and ends[0][0][2] == ends[1][0][2]
+        x, y = find((r.doc_id, ends[0][0][0])), find((r.first_doc_id, ends[1][0][0]))
+        root[x] = y
+    assert {(r.doc_id, r.start) for r in got} == set(root)
+    assert len({find(x) for x in root}) == len({r.class_id for r in got}) == 2
+    assert len(got) == n + 5 + 3 and (n == 3 or len(linked) > len(got))
+    assert "classes" in QUERIES["op8_passages"].__code__.co_names
+
+
 def test_hot_links_against_all_pairs():
     """Pairs of occurrences with equal words beyond the run that both share, and the first of each longer run's copies."""
     rng, far = np.random.default_rng(27), passages.REACH
