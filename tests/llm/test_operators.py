@@ -688,6 +688,39 @@ def test_hot_seeds_in_blocks(monkeypatch, tmp_path):
     assert found() == want
 
 
+def test_extensions_of_many_pairs():
+    rng, far = np.random.default_rng(31), passages.REACH
+    a = rng.integers(1, 4, (400, far)).astype(np.uint32)
+    b = a.copy()
+    for k in range(400):  # changed words, words left out, texts that end
+        at = rng.integers(0, far, rng.integers(0, 12))
+        b[k, at] = rng.integers(1, 9, len(at))
+        cut, n = int(rng.integers(0, far - 5)), int(rng.integers(0, 5))
+        b[k] = np.concatenate((b[k, :cut], b[k, cut + n :], np.zeros(n, np.uint32)))
+        a[k, rng.integers(far // 2, 2 * far) :] = 0
+    got = list(zip(*(x.tolist() for x in passages.reaches(a, b)), strict=True))
+    assert got == [passages.reached(x[x != 0], y[y != 0])[:2] for x, y in zip(a, b, strict=True)]
+    assert len(set(got)) > 50
+
+
+def test_short_lines_are_not_tried_pair_by_pair(tmp_path):
+    """Texts that share a line of 16 words and three equal words after it give no links; where the line goes on, or another seed is near, all do."""
+    rng, kinds = random.Random(32), (np.int64, np.int64, np.int32, np.int32)
+    line, more = prose(rng, 16, 5000), prose(rng, 40, 5000)
+
+    def linked(name, text):
+        docs, where = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [text() for _ in range(40)]}), str(tmp_path / name)
+        list(passages._match(where, 1)(passages._seed(1)([docs])))
+        return {x for _, (a, b, _, _) in gathered(passages._hot(1)(passages._around(where, 1)([docs])), kinds) for x in zip(a.tolist(), b.tolist(), strict=True)}
+
+    word = lambda: f"u{rng.randrange(10**9)}"
+    rest = lambda: " ".join(word() for _ in range(60))
+    assert linked("short", lambda: f"{rest()} {line} {word()} one two three {rest()}") == set()
+    every = {(i, j) for j in range(40) for i in range(j)}
+    assert linked("long", lambda: f"{rest()} {line} {word()} {more} {rest()}") == every
+    assert linked("near", lambda: f"{rest()} {line} {word()} one two three {' '.join(word() for _ in range(20))} {line} {rest()}") == every
+
+
 def naive_best_fit(sizes, rule="norm"):
     caps = (packing.WINDOW, packing.DOCS, packing.ATTENTION)
     demand = [(n / caps[0], 1 / caps[1], n * n / caps[2]) for n in sizes]
