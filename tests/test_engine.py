@@ -179,3 +179,20 @@ def test_registered_writer(spark, tmp_path):
     assert (tmp_path / "x" / "a.txt.loud").read_text() == "HI" and rows["/in/x/a.txt"].written_bytes == 2 and rows["/in/b.txt"].written_bytes is None
     with pytest.raises(TypeError):
         renderers.register_writer("bad", "x", None)
+
+
+def test_tasks_and_batches_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """A table above SPREAD_BYTES in one row group, or in small files that share a split, goes to tasks of EACH bytes; Python gets small batches."""
+    from textloom import queries, session
+
+    for k in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{k}")
+    docs = spark.range(20000).selectExpr("id AS doc_id", "sha2(string(id), 512) AS text")
+    monkeypatch.setattr(session, "SPREAD_BYTES", 1000)
+    monkeypatch.setattr(queries, "EACH", 100_000)
+    for name, files in (("one", 1), ("many", 16)):
+        docs.repartition(files).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = queries._table(spark, f"{tmp_path}/{name}", "documents")
+        assert got.rdd.getNumPartitions() >= 10 and sorted(got.collect()) == sorted(docs.collect())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == session.BATCH_ROWS
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == session.BATCH_BYTES
