@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 #: What str.strip removes.
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 #: One blank, as Python's \s has it, for use inside a character class.
@@ -71,6 +73,7 @@ def python_each(df, c: str, f):
     def run(s: pd.Series, null: pd.Series) -> pd.Series:
         return s.map(f, na_action="ignore")
 
+    small_batches(df.sparkSession)
     return settled(df.withColumn(c, F.pandas_udf(run, "string")(F.col(c), F.isnull(c))), c)
 
 

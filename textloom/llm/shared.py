@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; one is made only if none is set."""
@@ -35,18 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-#: Most rows and bytes in one Arrow batch between the JVM and a worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size: a default batch of 10,000 documents costs the JVM some hundred MB off its heap."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, None)
-        if now is None or not now.isdigit() or int(now) > most or int(now) <= 0:
-            spark.conf.set(key, most)
-
-
 class Scratch:
     """One operator call's own folder under the shared folder."""
 

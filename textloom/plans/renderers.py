@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, strip
+from ..session import small_batches
 
 FORMATS = {"markdown": "md", "plain_text": "txt", "json": "json", "csv": "csv", "html": "html", "xml": "xml"}
 ALIASES = {"text": "plain_text", "txt": "plain_text", "md": "markdown"}
@@ -138,6 +139,7 @@ def tables(df: DataFrame, c: str, out: str = "tables", strict: bool = False) ->
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: markdown_tables(t, strict), na_action="ignore")
 
+    small_batches(df.sparkSession)
     return df.withColumn(out, run(F.col(c)))
 
 
@@ -238,6 +240,7 @@ def plain_text(df: DataFrame, c: str, out: str) -> DataFrame:
     def run(s: pd.Series) -> pd.Series:
         return s.map(plain, na_action="ignore")
 
+    small_batches(df.sparkSession)
     return df.withColumn(out, run(F.col(c)))
 
 
